@@ -25,12 +25,12 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seque
     on = list(on)
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
-    salts = F.ceil(F.col("n_rows") / rows_per_salt).cast("int").alias("_salts")
+    salts = F.ceil(F.col("n_rows") / rows_per_salt).cast("long").alias("_salts")
     hot = F.broadcast(counts.filter(F.col("n_rows") > rows_per_salt).select(*on, salts))
     salted_big = big.join(hot, on, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0).cast("long"))).drop("_salts")
     salted_small = small.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).cast("long")).drop("_salts")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
 
 
