@@ -165,7 +165,8 @@ def best_in_blocks(visits: DataFrame, blocks: DataFrame, on: list[str], unit: st
     sizes = counts.select(*on, F.ceil(F.col("n_rows") / QUERIES_PER_BLOCK).cast("long").alias("n_asked"))
     asked = skew_join(visits, sizes, on, ["id"], counts=counts).groupBy(
         *on, F.pmod(F.xxhash64("id"), "n_asked").alias("ask")).agg(F.collect_list(F.struct("id", "vec")).alias("asked"))
-    pairs = skew_join(asked, blocks, on, ["ask"], rows_per_salt=QUERIES_PER_BLOCK).select(
+    pairs = skew_join(asked, blocks, on, ["ask"], counts=sizes.withColumnRenamed("n_asked", "n_rows"),
+                      rows_per_salt=QUERIES_PER_BLOCK).select(
         "asked", "rows", (F.col(unit) if unit else F.lit(0)).cast("long").alias("unit"))
     best = pairs.mapInArrow(_best_per_block, "unit bigint, id bigint, key bigint, sim double")
     winner = F.max(F.struct("sim", (-F.col("key")).alias("low"), "key")).alias("w")
@@ -258,8 +259,8 @@ def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: s
         if not approx:
             wide = asking.join(best.select("id", "sim"), "id").select("id", "vec", "sim")
             visits = wide.mapInArrow(_visits(pivots, cells, rings, False), schema)
-            visits = visits.join(F.broadcast(sizes), on).withColumn(
-                "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).drop("n_blocks")
+            visits = durable(visits.join(F.broadcast(sizes), on).withColumn(
+                "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).drop("n_blocks"))
             best = best_in_blocks(visits, blocks, [*on, "block"])
     zero_wins = zero_key.isNotNull() & ((F.col("sim") < 0) | ((F.col("sim") == 0) & (zero_key < F.col("key"))))
     found = best.select(

@@ -17,14 +17,16 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seque
               how: str = "inner", counts: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Join `big` to `small`, which has one row per key, with hot keys split into salts.
 
-    A key with more than `rows_per_salt` rows in `big` is cut into as many salts as it
-    needs by a hash of the `spread` columns, and its row in `small` is repeated per salt. The
-    table of hot keys has at most |big| / rows_per_salt rows, so broadcasting it is safe.
-    `counts` may hold the rows per key (columns `on` and `n_rows`) where they are known.
+    `counts` holds roughly the rows of `big` per key (columns `on` and `n_rows`), as known from
+    building `small`. A key above `rows_per_salt` is cut into as many salts as it needs by a
+    hash of the `spread` columns, and its row in `small` is repeated per salt. The table of hot
+    keys has at most |big| / rows_per_salt rows, so broadcasting it is safe. Without counts the
+    join is left to the adaptive splitting of skewed partitions; counting alone would mean
+    computing `big` twice.
     """
     on = list(on)
     if counts is None:
-        counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
+        return big.join(small, on, how)
     salts = F.ceil(F.col("n_rows") / rows_per_salt).cast("long").alias("_salts")
     hot = F.broadcast(counts.filter(F.col("n_rows") > rows_per_salt).select(*on, salts))
     salted_big = big.join(hot, on, "left").withColumn(
