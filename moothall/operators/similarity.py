@@ -28,7 +28,7 @@ KEYS_PER_BLOCK = 1024
 QUERIES_PER_BLOCK = 512
 FARTHEST = 10_000
 SEGMENTS = 3  # one more than the edits the segment index allows
-PIVOTS = 64
+MOST_PIVOTS = 1024
 RING_WIDTH = 0.05
 SLACK = 1e-7
 
@@ -238,8 +238,9 @@ def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: s
     is_zero = vec.norm(F.col("vec")) == 0
     all_keys = durable(units(key, key_id).groupBy("vec").agg(F.min("id").alias("id")))
     keys, queries = all_keys.filter(~is_zero), durable(units(query, query_id))
-    # at most PIVOTS vectors and PIVOTS * 2 / RING_WIDTH group sizes reach the driver
-    pivots = np.array([r.vec for r in keys.orderBy(order_key("id", 0)).limit(PIVOTS).collect()])
+    # at most MOST_PIVOTS vectors and MOST_PIVOTS * 2 / RING_WIDTH group sizes reach the driver
+    n_pivots = min(MOST_PIVOTS, keys.count() // KEYS_PER_BLOCK + 1)
+    pivots = np.array([r.vec for r in keys.orderBy(order_key("id", 0)).limit(n_pivots).collect()])
     zero_key = all_keys.filter(is_zero).agg(F.min("id")).scalar()
     lowest = all_keys.agg(F.min("id")).scalar()
     schema = "id bigint, vec array<double>, cell bigint, ring bigint"
