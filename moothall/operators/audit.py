@@ -16,7 +16,6 @@ from moothall.functions import vectors as vec
 from moothall.functions.text import mask_phrase, strip
 from moothall.operators.features import STOP_WORDS
 from moothall.operators.skew import skew_join
-from moothall.session import durable
 
 Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
@@ -119,9 +118,6 @@ def fillers(masked: DataFrame, neighbours: DataFrame, keys: Sequence[str], text:
 
     The k best words of a context are chosen once per context, before any text meets them.
     """
-    best = W.partitionBy("before", "after").orderBy(F.desc("n"), "word")
-    ranked = neighbours.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= top_k)
-    lists = ranked.groupBy("before", "after").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     words = words_of(F.col(text))
     spots = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == mask)
     slots = (masked.select(*keys, words.alias("w")).filter(F.size("w") > 0)
@@ -129,6 +125,10 @@ def fillers(masked: DataFrame, neighbours: DataFrame, keys: Sequence[str], text:
                  F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))).alias("s"))
              .select(*keys, "s.before", "s.after"))
     counts = slots.groupBy("before", "after").agg(F.count(F.lit(1)).alias("n_rows"))
+    best = W.partitionBy("before", "after").orderBy(F.desc("n"), "word")
+    asked = neighbours.join(counts, ["before", "after"], "left_semi")
+    ranked = asked.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= top_k)
+    lists = ranked.groupBy("before", "after").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     filled = skew_join(slots, lists, ["before", "after"], list(keys), counts=counts).select(*keys, F.explode("words").alias("c"))
     merged = filled.groupBy(*keys, F.col("c.word").alias("word")).agg(F.max("c.n").alias("n"))
     order = W.partitionBy(*keys).orderBy(F.desc("n"), "word")
@@ -267,11 +267,11 @@ def _bigrams(texts: DataFrame, text: str, *keys: str) -> DataFrame:
 def log_perplexity(texts: DataFrame, bigrams: DataFrame, text_id: str, text: str) -> DataFrame:
     """Mean of -ln p(word | word before) per text, with p from the counted corpus."""
     firsts = bigrams.groupBy("before").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_rows"))
-    chances = durable(skew_join(bigrams, firsts.drop("n_rows"), ["before"], ["word"], counts=firsts).select(
-        "before", "word", "n", F.ln(F.col("n") / F.col("total")).alias("log_p")))
+    chances = skew_join(bigrams, firsts.drop("n_rows"), ["before"], ["word"], counts=firsts).select(
+        "before", "word", F.ln(F.col("n") / F.col("total")).alias("log_p"))
     used = _bigrams(texts, text, text_id).groupBy(text_id, "before", "word").agg(F.count(F.lit(1)).alias("uses"))
-    scored = skew_join(used, chances.drop("n"), ["before", "word"], [text_id],
-                       counts=chances.select("before", "word", F.col("n").alias("n_rows")))
+    scored = skew_join(used, chances, ["before", "word"], [text_id],
+                       counts=bigrams.select("before", "word", F.col("n").alias("n_rows")))
     return scored.groupBy(text_id).agg(
         (-F.sum(F.col("uses") * F.col("log_p")) / F.sum("uses")).alias("log_perplexity"))
 

@@ -28,6 +28,7 @@ KEYS_PER_BLOCK = 1024
 QUERIES_PER_BLOCK = 512
 FARTHEST = 10_000
 SEGMENTS = 3  # one more than the edits the segment index allows
+FEW_BLOCKS = 16
 MOST_PIVOTS = 1024
 RING_WIDTH = 0.05
 SLACK = 1e-7
@@ -220,14 +221,50 @@ def _visits(pivots: np.ndarray, cells: np.ndarray, rings: np.ndarray, first_only
     return run
 
 
+def _all_blocks(visits: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame:
+    """A row per block of the group a query visits; the table of group sizes is bounded."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
+    return visits.join(F.broadcast(sizes), on).withColumn("block", F.explode(blocks)).drop("n_blocks")
+
+
+def _search_few(asking: DataFrame, keys: DataFrame, n_keys: int, approx: bool) -> DataFrame:
+    """Every query against each of a handful of blocks."""
+    group = F.lit(0).alias("cell")
+    blocks, sizes = _blocks(keys.select("id", "vec", group), ["cell"], "id", F.struct("id", "vec"), KEYS_PER_BLOCK)
+    return best_in_blocks(_all_blocks(asking.select("id", "vec", group), sizes, ["cell"]), blocks, ["cell", "block"])
+
+
+def _search_groups(asking: DataFrame, keys: DataFrame, n_keys: int, approx: bool) -> DataFrame:
+    """Queries against the groups of keys that the triangle inequality does not exclude."""
+    on = ["cell", "ring"]
+    schema = "id bigint, vec array<double>, cell bigint, ring bigint"
+    # at most MOST_PIVOTS vectors and MOST_PIVOTS * 2 / RING_WIDTH group sizes reach the driver
+    n_pivots = min(MOST_PIVOTS, n_keys // KEYS_PER_BLOCK + 1)
+    pivots = np.array([r.vec for r in keys.orderBy(order_key("id", 0)).limit(n_pivots).collect()])
+    placed = durable(keys.mapInArrow(_assign(pivots), schema))
+    blocks, sizes = _blocks(placed, on, "id", F.struct("id", "vec"), KEYS_PER_BLOCK)
+    blocks, sizes = durable(blocks), durable(sizes)
+    groups = sizes.select(*on).collect()
+    cells, rings = (np.array([g[c] for g in groups], dtype="int64") for c in on)
+    lowest_block = blocks.groupBy(*on).agg(F.min("block").alias("block"))
+    first = asking.mapInArrow(_visits(pivots, cells, rings, True), schema).join(F.broadcast(lowest_block), on)
+    best = durable(best_in_blocks(durable(first), blocks, [*on, "block"]))
+    if approx:
+        return best
+    wide = asking.join(best.select("id", "sim"), "id").select("id", "vec", "sim")
+    visits = _all_blocks(wide.mapInArrow(_visits(pivots, cells, rings, False), schema), sizes, on)
+    return best_in_blocks(durable(visits), blocks, [*on, "block"])
+
+
 def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: str, vector: str,
                       approx: bool = False) -> DataFrame:
     """The key of highest cosine per query row; ties go to the lowest key id.
 
-    Keys are grouped by their nearest pivot and the ring of distance around it. A query first
-    searches one block of its likeliest group; the triangle inequality then excludes every
-    group that cannot hold a closer key, and all blocks of the others are searched. `approx`
-    stops after the first block. Equal vectors are searched once.
+    A few blocks of keys are searched as they are. More keys are grouped by their nearest pivot
+    and the ring of distance around it: a query first searches one block of its likeliest
+    group; the triangle inequality then excludes every group that cannot hold a closer key, and
+    all blocks of the others are searched. `approx` stops after the first block. Equal vectors
+    are searched once.
     """
     spark = query.sparkSession
     output = f"nearest_{key_id}"
@@ -238,36 +275,19 @@ def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: s
     is_zero = vec.norm(F.col("vec")) == 0
     all_keys = durable(units(key, key_id).groupBy("vec").agg(F.min("id").alias("id")))
     keys, queries = all_keys.filter(~is_zero), durable(units(query, query_id))
-    # at most MOST_PIVOTS vectors and MOST_PIVOTS * 2 / RING_WIDTH group sizes reach the driver
-    n_pivots = min(MOST_PIVOTS, keys.count() // KEYS_PER_BLOCK + 1)
-    pivots = np.array([r.vec for r in keys.orderBy(order_key("id", 0)).limit(n_pivots).collect()])
     zero_key = all_keys.filter(is_zero).agg(F.min("id")).scalar()
     lowest = all_keys.agg(F.min("id")).scalar()
-    schema = "id bigint, vec array<double>, cell bigint, ring bigint"
+    n_keys = keys.count()
     best = spark.createDataFrame([], "unit bigint, id bigint, key bigint, sim double")
-    if len(pivots):
-        on = ["cell", "ring"]
-        placed = durable(keys.select("id", "vec").mapInArrow(_assign(pivots), schema))
-        blocks, sizes = _blocks(placed, on, "id", F.struct("id", "vec"), KEYS_PER_BLOCK)
-        blocks, sizes = durable(blocks), durable(sizes)
-        groups = sizes.select(*on).collect()
-        cells, rings = (np.array([g[c] for g in groups], dtype="int64") for c in on)
+    if n_keys:
         asking = queries.filter(~is_zero)
-        first = asking.mapInArrow(_visits(pivots, cells, rings, True), schema).withColumn("block", F.lit(0).cast("long"))
-        lowest_block = blocks.groupBy(*on).agg(F.min("block").alias("block"))
-        first = first.drop("block").join(F.broadcast(lowest_block), on)
-        best = durable(best_in_blocks(first, blocks, [*on, "block"]))
-        if not approx:
-            wide = asking.join(best.select("id", "sim"), "id").select("id", "vec", "sim")
-            visits = wide.mapInArrow(_visits(pivots, cells, rings, False), schema)
-            visits = durable(visits.join(F.broadcast(sizes), on).withColumn(
-                "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).drop("n_blocks"))
-            best = best_in_blocks(visits, blocks, [*on, "block"])
+        search = _search_few if n_keys <= FEW_BLOCKS * KEYS_PER_BLOCK else _search_groups
+        best = search(asking, keys.select("id", "vec"), n_keys, approx)
     zero_wins = zero_key.isNotNull() & ((F.col("sim") < 0) | ((F.col("sim") == 0) & (zero_key < F.col("key"))))
     found = best.select(
         F.col("id").alias(query_id), F.when(zero_wins, zero_key).otherwise(F.col("key")).alias(output),
         F.when(zero_wins, F.lit(0.0)).otherwise(F.col("sim")).alias("sim"))
-    blank = queries.filter(is_zero | F.lit(len(pivots) == 0)).select(
+    blank = queries.filter(is_zero | F.lit(n_keys == 0)).select(
         F.col("id").alias(query_id), lowest.alias(output), F.lit(0.0).alias("sim"))
     return found.unionByName(blank.filter(F.col(output).isNotNull()))
 

@@ -40,7 +40,8 @@ def document_words(spark, sf_dir):
 
 def parted(spark, sf_dir):
     """Labelled documents as train and dev parts."""
-    joined = view(spark, sf_dir, LABELLED).join(split_exact(spark, sf_dir).select("doc_id", "split"), "doc_id")
+    parts = split_exact(spark, sf_dir).select("doc_id", "split")
+    joined = durable(view(spark, sf_dir, LABELLED).join(parts, "doc_id"))
     return joined.filter("split = 'train'"), joined.filter("split = 'dev'")
 
 

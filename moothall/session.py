@@ -45,12 +45,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it from there.
+    """Write `df` as a table in the shared folder and read it from there.
 
-    Later steps then neither recompute it nor lose it with an executor.
+    Later steps then neither recompute it nor lose it with an executor, and the planner knows
+    its size and can read single columns of it.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
