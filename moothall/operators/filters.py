@@ -12,9 +12,14 @@ from moothall.functions.text import GONE, scrub_spoilers
 
 
 def drop_gone(df: DataFrame, body: str = "body", gone: Sequence[str] = GONE) -> DataFrame:
-    """P1 after T1: scrub the body, then drop removed, deleted and empty ones; nulls stay."""
-    scrubbed = df.filter(F.coalesce(F.col(body) != "[removed]", F.lit(True)))
-    scrubbed = scrubbed.withColumn(body, scrub_spoilers(F.col(body)))
+    """P1 after T1: scrub the body, then drop removed, deleted and empty ones; nulls stay.
+
+    The scrubbed body is generated, not projected, so the filter does not run the scrub again.
+    """
+    present = df.filter(F.coalesce(F.col(body) != "[removed]", F.lit(True)))
+    others = [c for c in df.columns if c != body]
+    scrubbed = present.select(*others, F.explode_outer(F.array(scrub_spoilers(F.col(body)))).alias(body))
+    scrubbed = scrubbed.select(*df.columns)
     return scrubbed.filter(F.coalesce(~F.col(body).isin(*gone), F.lit(True)))
 
 
@@ -79,7 +84,7 @@ def union_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def minus_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     """Set difference."""
-    return a.join(b.distinct(), list(a.columns), "left_anti").distinct()
+    return a.distinct().join(b.distinct(), list(a.columns), "left_anti")
 
 
 def stage_counts(**stages: DataFrame) -> DataFrame:

@@ -73,8 +73,11 @@ def _segment_keys(text: Column, reach: int) -> Column:
 
 def _closest(probes: DataFrame, blocks: DataFrame, sizes: DataFrame, on: list[str], reach: int) -> DataFrame:
     """Best (distance, pos) per probing text among the blocks of its keys, within `reach`."""
-    met = skew_join(probes, sizes, on, ["q"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    met = skew_join(met.drop("n_blocks"), blocks, [*on, "block"], ["q"])
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
+    counts = probes.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
+    met = skew_join(probes, sizes, on, ["q"], counts=counts).withColumn("block", every_block).drop("n_blocks")
+    block_counts = counts.join(sizes, on).withColumn("block", every_block).drop("n_blocks")
+    met = skew_join(met, blocks, [*on, "block"], ["q"], counts=block_counts)
     near = F.transform("rows", lambda r: F.struct(
         F.levenshtein(F.col("q"), r["t"], reach).alias("distance"), r["pos"].alias("pos")))
     best = F.array_min(F.filter(near, lambda r: r["distance"] >= 0))
@@ -89,12 +92,13 @@ def nearest_by_edit(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     best match found lies within it: a text outside the band differs by more.
     """
     low = F.lower(F.col(text))
-    asked = left.select(low.alias("q")).filter("q IS NOT NULL").distinct()
+    asked = durable(left.select(low.alias("q")).filter("q IS NOT NULL").groupBy("q").agg(
+        F.count(F.lit(1)).alias("n_rows")))
     keys = durable(right.filter(F.col(text).isNotNull()).groupBy(low.alias("t")).agg(F.min(right_id).alias("pos")))
     equal = asked.join(keys, asked.q == keys.t).select(
         "q", F.struct(F.lit(0).alias("distance"), "pos").alias("best"))
     found = [equal]
-    open_texts = durable(asked.join(equal, "q", "left_anti"))
+    open_texts = durable(asked.select("q").join(equal, "q", "left_anti"))
     packed = F.struct("t", "pos")
 
     reach = SEGMENTS - 1
@@ -126,7 +130,7 @@ def nearest_by_edit(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 
     best = reduce(DataFrame.unionByName, found).select("q", "best.distance", F.col("best.pos").alias(f"nearest_{right_id}"))
     asking = left.select(left_id, low.alias("q"))
-    return skew_join(asking, best, ["q"], [left_id]).drop("q")
+    return skew_join(asking, best, ["q"], [left_id], counts=asked).drop("q")
 
 
 # ---- cosine ----
@@ -315,7 +319,7 @@ def soft_align(refs: DataFrame, cands: DataFrame, weights: DataFrame | None = No
 
     def inner(df: DataFrame) -> DataFrame:
         ends = df.groupBy(pair).agg(F.max(pos).alias("_last"), F.count(F.lit(1)).alias("_size"))
-        tokens = skew_join(df, ends, [pair], [pos])
+        tokens = skew_join(df, ends, [pair], [pos], counts=ends.withColumnRenamed("_size", "n_rows"))
         return tokens.filter((F.col(pos) > 0) & (F.col(pos) < F.col("_last"))).select(
             F.col(pair).alias("pair"), F.col(pos).cast("long").alias("pos"), "_size",
             vec.unit(F.col(vector)).alias("vec"))
@@ -328,7 +332,8 @@ def soft_align(refs: DataFrame, cands: DataFrame, weights: DataFrame | None = No
     else:
         shares = weights.select(F.col(pair).alias("pair"), F.col(pos).cast("long").alias("pos"), "weight")
         asked = asked.join(shares, ["pair", "pos"])
-    visits = skew_join(asked, sizes, ["pair"], ["pos"]).withColumn(
+    counts = asked.groupBy("pair").agg(F.count(F.lit(1)).alias("n_rows"))
+    visits = skew_join(asked, sizes, ["pair"], ["pos"], counts=counts).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     named = visits.select("pair", "block", F.col("pos").alias("id"), "vec")
     best = best_in_blocks(named, blocks, ["pair", "block"], unit="pair")

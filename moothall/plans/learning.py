@@ -269,33 +269,31 @@ def pad_batch(spark, sf_dir):
                          F.size("input_ids").alias("length"))
 
 
-def turn_words(alias):
-    return words_sql(f"SELECT conv_id, text FROM conversations WHERE turn = {alias}", "conv_id")
-
-
-def ids_of(alias):
-    return f"""SELECT w.conv_id, string_agg(CAST(v.idx AS VARCHAR), ',' ORDER BY w.pos) AS ids
-               FROM ({turn_words(alias)}) w JOIN v ON w.word = v.word WHERE w.pos < 512 GROUP BY w.conv_id"""
-
-
-ALL_TURN_WORDS = words_sql("SELECT conv_id * 1000 + turn AS remark_id, text FROM conversations", "remark_id")
+TURNS = "SELECT conv_id * 1000 + turn AS remark_id, text FROM conversations"
+TURN_IDS = f"""
+SELECT t.remark_id, t.text, coalesce(i.ids, '') AS ids FROM ({TURNS}) t LEFT JOIN (
+  SELECT w.remark_id, string_agg(CAST(v.idx AS VARCHAR), ',' ORDER BY w.pos) AS ids
+  FROM ({words_sql(TURNS, "remark_id")}) w JOIN v ON w.word = v.word WHERE w.pos < 512 GROUP BY w.remark_id) i
+ON t.remark_id = i.remark_id
+"""
 
 
 @query("g4_dual_targets", f"""
-WITH v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM (SELECT DISTINCT word FROM ({ALL_TURN_WORDS}) w) d),
-a AS ({ids_of(0)}), b AS ({ids_of(1)})
-SELECT c.conv_id, md5(coalesce(a.ids, '')) AS input_md5, md5(coalesce(b.ids, '')) AS labels_md5, length(c.text) % 2 AS target
-FROM conversations c LEFT JOIN a ON c.conv_id = a.conv_id LEFT JOIN b ON c.conv_id = b.conv_id WHERE c.turn = 0
+WITH v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx
+           FROM (SELECT DISTINCT word FROM ({words_sql(TURNS, "remark_id")}) w) d),
+t AS ({TURN_IDS})
+SELECT a.remark_id, md5(a.ids) AS input_md5, md5(b.ids) AS labels_md5, length(a.text) % 2 AS target
+FROM t a JOIN t b ON b.remark_id = a.remark_id + 1
 """)
 def dual_targets(spark, sf_dir):
-    """A conversation's opening as the input, its first answer as the comment to generate."""
-    turns = table(spark, sf_dir, "conversations")
-    every = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("remark_id"), "text")
-    vocab = features.build_vocab(features.extract_words(every, "remark_id", "text", stemmer=None))
-    opening, answer = (features.extract_words(turns.filter(F.col("turn") == t), "conv_id", "text", stemmer=None) for t in (0, 1))
-    docs = turns.filter("turn = 0").withColumn("target", F.length("text") % 2)
-    rows = prep.dual_targets(docs, opening, answer, vocab, "conv_id", "target")
-    return rows.select("conv_id", F.md5(F.array_join("input_ids", ",")).alias("input_md5"),
+    """Every turn that is answered as the input, its answer as the comment to generate."""
+    turns = view(spark, sf_dir, TURNS).withColumn("target", F.length("text") % 2)
+    words = durable(features.extract_words(turns, "remark_id", "text", stemmer=None))
+    answers = turns.select((F.col("remark_id") - 1).alias("remark_id"))
+    answer_words = words.withColumn("remark_id", F.col("remark_id") - 1)
+    docs = turns.join(answers, "remark_id", "left_semi")
+    rows = prep.dual_targets(docs, words, answer_words, features.build_vocab(words), "remark_id", "target")
+    return rows.select("remark_id", F.md5(F.array_join("input_ids", ",")).alias("input_md5"),
                        F.md5(F.array_join("labels", ",")).alias("labels_md5"), F.col("classification_target").alias("target"))
 
 

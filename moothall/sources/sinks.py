@@ -48,7 +48,7 @@ def run_shards(df: DataFrame, shard_size: int, fn: Callable[[DataFrame], DataFra
     if rows.isEmpty():
         raise ValueError(f"start {start} is beyond the last row")
     sharded = rows.withColumn("shard", F.floor(F.col(row_no) / shard_size))
-    pending = sharded.join(F.broadcast(_done_shards(spark, out)), "shard", "left_anti")
+    pending = sharded.join(_done_shards(spark, out), "shard", "left_anti")
     (fn(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("shard").parquet(f"{out}/data"))
     pending.select("shard").distinct().write.mode("append").parquet(f"{out}/manifest")
@@ -60,7 +60,7 @@ def read_shards(spark: SparkSession, out: str, first: int, last: int) -> tuple[D
     done = _done_shards(spark, out)
     data = spark.read.parquet(f"{out}/data").withColumn("shard", F.col("shard").cast("long"))
     in_range = F.col("shard").between(first, last - 1)
-    rows = data.filter(in_range).join(F.broadcast(done), "shard", "left_semi")
+    rows = data.filter(in_range).join(done, "shard", "left_semi")
     return rows, wanted.join(done, "shard", "left_anti")
 
 
