@@ -1,20 +1,25 @@
 """Deterministic sampling, balancing and exact splits.
 
 Every draw orders rows by md5(seed:id), so a result depends on the ids and the seed alone.
-Exact sizes come from a histogram of the hash: rows of a bucket that lies on one side of
-every cut are decided by the histogram, and only the few buckets a cut falls into are ranked.
-The id must identify a row.
+An exact size needs the key at a given rank. A histogram of the keys tells which bucket it lies
+in and only that bucket is ranked; then each row is placed by comparing its own key, so full
+rows are neither sorted nor shuffled. The id must identify a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moothall.operators.skew import running_total
+from moothall.session import durable
 
 BUCKET_DIGITS = 4  # hexadecimal digits, 65,536 buckets
+LAST_KEY = "~"  # after every hexadecimal key
 SPLITS = ("test", "dev", "train")
 
 
@@ -23,51 +28,56 @@ def order_key(id_col: str, seed: int) -> Column:
 
 
 def _bucketed(df: DataFrame, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their key and bucket, and the rows before each of the 65,536 buckets at most."""
     keyed = df.withColumn("_key", order_key(id_col, seed)).withColumn(
         "_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = durable(keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")))
     return keyed, running_total(sizes, "_bucket", "_size", "_before").join(sizes, "_bucket")
 
 
-def cut_by_hash(df: DataFrame, id_col: str, seed: int, cuts: DataFrame, name: str = "part") -> DataFrame:
+def cut_by_hash(df: DataFrame, id_col: str, seed: int, cuts_of: Callable[[int], Sequence[int]],
+                name: str = "part") -> DataFrame:
     """Add the number of cuts before a row's rank in hash order.
 
-    `cuts` is one row with an ascending array column `cuts`: part 0 holds exactly the first
-    cuts[0] rows, part 1 the next cuts[1] - cuts[0], and so on.
+    `cuts_of` turns the number of rows into ascending cuts: part 0 holds exactly the first
+    cuts[0] rows, part 1 the next cuts[1] - cuts[0], and so on. Only the keys at the cuts reach
+    the driver.
     """
     keyed, buckets = _bucketed(df, id_col, seed)
+    n = buckets.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    cuts = list(cuts_of(n))
+    inner = sorted({c for c in cuts if 0 < c < n})
+    key_at = {}
+    if inner:
+        spots = buckets.withColumn("_cut", F.explode(F.array(*[F.lit(c) for c in inner]))).filter(
+            (F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_size")))
+        ranked = keyed.select("_key", "_bucket").join(F.broadcast(spots), "_bucket").withColumn(
+            "_rank", F.col("_before") + F.row_number().over(W.partitionBy("_bucket", "_cut").orderBy("_key")))
+        key_at = {r["_cut"]: r["_key"] for r in ranked.filter("_rank = _cut").collect()}
+    bounds = [key_at.get(c, "" if c <= 0 else LAST_KEY) for c in cuts]
+    place = sum((F.when(order_key(id_col, seed) > bound, 1).otherwise(0) for bound in bounds), F.lit(0))
+    return df.withColumn(name, place)
 
-    def part_of(rank: Column) -> Column:
-        return F.size(F.filter("cuts", lambda c: c < rank))
-
-    placed = (buckets.withColumn("cuts", cuts.select("cuts").scalar())
-              .withColumn("_first", part_of(F.col("_before") + 1))
-              .withColumn("_last", part_of(F.col("_before") + F.col("_size"))))
-    joined = keyed.join(F.broadcast(placed.drop("_size")), "_bucket")
-    decided = joined.filter(F.col("_first") == F.col("_last")).withColumn(name, F.col("_first"))
-    rank = F.col("_before") + F.row_number().over(W.partitionBy("_bucket").orderBy("_key"))
-    ranked = joined.filter(F.col("_first") != F.col("_last")).withColumn(name, part_of(rank))
-    columns = [*df.columns, name]
-    return decided.select(*columns).unionByName(ranked.select(*columns))
 
-
-def _one_cut(total: DataFrame) -> DataFrame:
-    return total.select(F.array(F.col("n").cast("long")).alias("cuts"))
+def _first_rows(df: DataFrame, id_col: str, seed: int, size_of: Callable[[int], int]) -> DataFrame:
+    return cut_by_hash(df, id_col, seed, lambda n: [size_of(n)], "_part").filter("_part = 0").drop("_part")
 
 
 def sample_exact(df: DataFrame, id_col: str, like: DataFrame, seed: int = 42) -> DataFrame:
     """As many rows, without replacement, as `like` has; an error if there are too few."""
-    have = df.groupBy().agg(F.count(F.lit(1)).alias("have"))
-    wanted = like.groupBy().agg(F.count(F.lit(1)).alias("want")).withColumn("have", have.scalar())
-    checked = wanted.select(F.when(F.col("want") <= F.col("have"), F.col("want")).otherwise(
-        F.raise_error(F.lit("the sample is larger than the table")).cast("long")).alias("n"))
-    return cut_by_hash(df, id_col, seed, _one_cut(checked)).filter("part = 0").drop("part")
+    wanted = like.count()
+
+    def size_of(n: int) -> int:
+        if wanted > n:
+            raise ValueError("the sample is larger than the table")
+        return wanted
+
+    return _first_rows(df, id_col, seed, size_of)
 
 
 def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed: int = 42) -> DataFrame:
     """floor(fraction * n) rows without replacement."""
-    n = df.groupBy().agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("n"))
-    return cut_by_hash(df, id_col, seed, _one_cut(n)).filter("part = 0").drop("part")
+    return _first_rows(df, id_col, seed, lambda n: floor(n * fraction))
 
 
 def balance(df: DataFrame, id_col: str, label: str, seed: int = 42, mode: str = "exact",
@@ -79,8 +89,8 @@ def balance(df: DataFrame, id_col: str, label: str, seed: int = 42, mode: str =
     """
     positives, negatives = df.filter(F.col(label) == positive), df.filter(F.col(label) == negative)
     if mode == "exact":
-        n = positives.groupBy().agg(F.count(F.lit(1)).alias("n"))
-        kept = cut_by_hash(negatives, id_col, seed, _one_cut(n)).filter("part = 0").drop("part")
+        n_positive = positives.count()
+        kept = _first_rows(negatives, id_col, seed, lambda n: n_positive)
     elif mode == "parity":
         numbered = hash_position(negatives, id_col, seed, "_no")
         n = negatives.groupBy().agg(F.count(F.lit(1)).alias("_n"))
@@ -108,12 +118,13 @@ def shuffle(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
 def split_exact(df: DataFrame, id_col: str, test: float = 0.1, dev: float = 0.1, seed: int = 42,
                 name: str = "split") -> DataFrame:
     """Test takes ceil(test * n) rows, dev ceil(dev * rest), train what is left."""
-    n_test = F.ceil(F.col("n") * F.lit(test))
-    sizes = df.groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("n_test", n_test)
-    n_dev = F.ceil((F.col("n") - F.col("n_test")) * F.lit(dev))
-    cuts = sizes.select(F.array(F.col("n_test"), F.col("n_test") + n_dev).alias("cuts"))
+
+    def cuts_of(n: int) -> list[int]:
+        n_test = ceil(n * test)
+        return [n_test, n_test + ceil((n - n_test) * dev)]
+
     names = F.array(*[F.lit(s) for s in SPLITS])
-    parted = cut_by_hash(df, id_col, seed, cuts, "_part")
+    parted = cut_by_hash(df, id_col, seed, cuts_of, "_part")
     return parted.withColumn(name, F.get(names, F.col("_part"))).drop("_part")
 
 

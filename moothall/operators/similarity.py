@@ -233,9 +233,11 @@ def _all_blocks(visits: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame
 
 def _search_few(asking: DataFrame, keys: DataFrame, n_keys: int, approx: bool) -> DataFrame:
     """Every query against each of a handful of blocks."""
-    group = F.lit(0).alias("cell")
-    blocks, sizes = _blocks(keys.select("id", "vec", group), ["cell"], "id", F.struct("id", "vec"), KEYS_PER_BLOCK)
-    return best_in_blocks(_all_blocks(asking.select("id", "vec", group), sizes, ["cell"]), blocks, ["cell", "block"])
+    n_blocks = -(-n_keys // KEYS_PER_BLOCK)
+    blocks = keys.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(
+        F.collect_list(F.struct("id", "vec")).alias("rows"))
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    return best_in_blocks(asking.select("id", "vec", every_block.alias("block")), blocks, ["block"])
 
 
 def _search_groups(asking: DataFrame, keys: DataFrame, n_keys: int, approx: bool) -> DataFrame:
