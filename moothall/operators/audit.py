@@ -28,8 +28,7 @@ MIN_COSINE = 0.2
 KAPPA = 5.0
 # ---- end of fixed values ----
 
-FIRST_BEYOND_SURROGATES = 0xE000
-SURROGATES = 0x800
+FIRST_SURROGATE, SURROGATES = 0xD800, 0x800  # code points that stand for no character
 
 
 # ---- scorers ----
@@ -232,7 +231,7 @@ def token_error(a: Column, b: Column) -> Column:
     def characters(ids: Column, known: Column) -> Column:
         def code(value: Column) -> Column:
             rank = F.array_position(known, value)
-            point = F.when(rank < 0xD800, rank).otherwise(rank + SURROGATES)
+            point = F.when(rank < FIRST_SURROGATE, rank).otherwise(rank + SURROGATES)
             return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
         return F.array_join(F.transform(ids, code), "")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from moothall.functions.text import safe_key
 from moothall.operators import threads
+from moothall.operators.sampling import hash_position
 from moothall.operators.skew import number_rows
+from moothall.plans.draws import SPLIT_SQL, split_exact
 from moothall.plans.fixtures import LABELLED, ordered_key
 from moothall.plans.registry import query, table, view
-from moothall.plans.draws import SPLIT_SQL, split_exact
 from moothall.session import scratch_path
 from moothall.sources import files, sinks
 
@@ -211,7 +212,7 @@ def run_shards(spark, sf_dir):
 
 
 @query("s11_read_shards", """
-SELECT 'missing' AS kind, n_shards + 0 AS shard FROM (SELECT (count(*) + 63) // 64 AS n_shards FROM documents) d
+SELECT 'missing' AS kind, (count(*) + 63) // 64 AS shard FROM documents
 UNION ALL SELECT 'present', shard FROM (SELECT DISTINCT (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS shard FROM documents) s
 """)
 def read_shards(spark, sf_dir):
@@ -260,7 +261,6 @@ SELECT a.doc_id, b.doc_id AS shuffled_id FROM (
 """)
 def positional_zip(spark, sf_dir):
     """Two orders of the documents side by side."""
-    from moothall.operators.sampling import hash_position
     ids = table(spark, sf_dir, "documents").select("doc_id")
     left = number_rows(ids, ["doc_id"], "line_no")
     right = hash_position(ids.withColumnRenamed("doc_id", "shuffled_id"), "shuffled_id", 0, "line_no")

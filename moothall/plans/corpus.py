@@ -179,7 +179,6 @@ def extract_verdict(spark, sf_dir):
 
 @query("l5_contradictions", f"""
 SELECT idx FROM ({COMMENTS}) c WHERE tag IN ('AUTHOR', 'OTHER') AND idx % 4 = 2
-   OR tag = 'none' AND false
 """)
 def contradictions(spark, sf_dir):
     """Comments with a word of contradiction."""

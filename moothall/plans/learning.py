@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from moothall.functions import text as tx
@@ -113,7 +114,6 @@ def project(spark, sf_dir):
 @query("f6_fit_logistic")
 def fit_logistic(spark, sf_dir):
     """A linear model on the given vectors, applied to them."""
-    from pyspark.ml.functions import array_to_vector
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", array_to_vector("embedding").alias("features"), (F.col("label") % 2).cast("double").alias("label"))
     model = features.fit_logistic(rows)
@@ -247,7 +247,7 @@ def encode(spark, sf_dir):
 
 
 @query("g2_pad_fixed", f"""
-SELECT doc_id, md5(concat(ids, repeat(CASE WHEN n = 0 THEN ',0' ELSE ',0' END, 512 - n::INT))) AS ids_md5, n AS n_real, 512 AS length
+SELECT doc_id, md5(concat(ids, repeat(',0', 512 - n::INT))) AS ids_md5, n AS n_real, 512 AS length
 FROM ({ENCODED}) e WHERE n > 0
 UNION ALL SELECT doc_id, md5(concat('0', repeat(',0', 511))), 0, 512 FROM ({ENCODED}) e WHERE n = 0
 """)
