@@ -24,6 +24,7 @@ KEY_WORDS = (
     ("*", "[asterisk]"),
 )
 KEY_LENGTH = 150
+FORUM_AREA = "amitheasshole"
 IGNORED_ID = -100
 # ---- end of fixed values ----
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moothall.functions import vectors as vec
-from moothall.functions.text import normalise_title
+from moothall.functions.text import FORUM_AREA, normalise_title
 from moothall.operators.sampling import order_key
 from moothall.operators.skew import skew_join
 from moothall.session import durable
@@ -299,7 +299,7 @@ def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: s
 
 
 def match_corpora(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str,
-                  title: str = "title", area: str = "area", wanted: str = "amitheasshole") -> DataFrame:
+                  title: str = "title", area: str = "area", wanted: str = FORUM_AREA) -> DataFrame:
     """Normalised left titles and the nearest right row of the wanted area."""
     nearest = nearest_by_cosine(left, right.filter(F.col(area) == wanted), left_id, right_id, vector)
     return left.select(left_id, normalise_title(F.col(title)).alias(title)).join(nearest, left_id)
