@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that states their results."""
 
-from moothall.llm import decontaminate, token_counts
+from moothall.llm import decontaminate, fixity, html_text, token_counts, url_reputation
 
-MODULES = (token_counts, decontaminate)
+MODULES = (url_reputation, token_counts, fixity, html_text, decontaminate)
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
