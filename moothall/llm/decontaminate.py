@@ -26,19 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moothall.llm.rolling import WordHasher, chunks
 from moothall.session import durable
 
 WIDTH = 10
 BROADCAST_BYTES = 64 << 20
 BITMAP_BITS = 23
-CHUNK_BYTES = 1 << 20  # texts are scanned in chunks of about this size; one text is never cut
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = 0xD6E8FEB86659FD93
-_MIX = 0xFF51AFD7ED558CCD
-
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Distinct (window, item) pairs; a window is its words joined by single spaces."""
@@ -50,61 +46,20 @@ def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text
     return listed.filter(n > 0).select(F.explode(windows).alias("window"), "item").distinct()
 
 
-class Scanner:
+class Scanner(WordHasher):
     """Finds, in many texts at once, the windows whose hash is in the bitmap."""
 
     def __init__(self, lengths: list[int], bitmap: np.ndarray):
-        self.lengths, self.bitmap = lengths, bitmap
-        self.lower = np.arange(256, dtype=np.uint8)
-        self.lower[65:91] += 32
         code = np.arange(256)
-        self.is_word = ((code >= 48) & (code <= 57)) | ((code >= 97) & (code <= 122)) | (code >= 128)
-        self.power = self.inverse = np.ones(0, np.uint64)
-
-    def _powers(self, n: int):
-        if len(self.power) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                setattr(self, name, np.multiply.accumulate(factors))
-        return self.power[:n], self.inverse[:n]
-
-    def words(self, data: np.ndarray):
-        """Lower-cased bytes, and where their words start and end."""
-        low = self.lower[data]
-        inside = np.zeros(len(low) + 2, np.int8)
-        inside[1:-1] = self.is_word[low]
-        edges = np.diff(inside)
-        return low, np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-
-    def hashes(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """One 64-bit hash per word: a polynomial of its bytes, mixed."""
-        power, inverse = self._powers(len(low) + 1)
-        sums = np.zeros(len(low) + 1, np.uint64)
-        np.cumsum(low.astype(np.uint64) * power[:-1], out=sums[1:])
-        found = (sums[end] - sums[start]) * inverse[start]
-        found ^= found >> np.uint64(31)
-        return found * np.uint64(_MIX)
-
-    @staticmethod
-    def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
-        n = max(0, len(words) - length + 1)
-        total = np.zeros(n, np.uint64)
-        for k in range(length):
-            total = total * np.uint64(_STEP) + words[k: k + n]
-        total ^= total >> np.uint64(29)
-        return total * np.uint64(_MIX)
+        super().__init__(((code >= 48) & (code <= 57)) | ((code >= 97) & (code <= 122)) | (code >= 128))
+        self.lengths, self.bitmap = lengths, bitmap
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
     def scan(self, texts: list[bytes]):
         """Per text: its words as a function of a range, their number and candidate (start, length)."""
-        data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
-        low, start, end = self.words(data)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        first = np.searchsorted(start, np.concatenate([[0], ends]))  # of each text's words
+        low, start, end, ends, first = self.split(texts, b"\x00")
         hashes = self.hashes(low, start, end)
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         found: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -123,19 +78,6 @@ class Scanner:
         return np.diff(first), found, window, first, spans
 
 
-def chunks(values: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of about `limit` bytes together, with the place of the first."""
-    at, held, size = 0, [], 0
-    for k, value in enumerate(values):
-        held.append((value or "").encode())
-        size += len(held[-1]) + 1
-        if size >= limit:
-            yield at, held
-            at, held, size = k + 1, [], 0
-    if held:
-        yield at, held
-
-
 def _table(windows: DataFrame) -> tuple[list[int], np.ndarray]:
     """Window lengths in use (at most `width`) and the bitmap of all window hashes."""
     lengths = sorted(r[0] for r in windows.select(F.size(F.split("window", " ")).alias("n")).distinct().collect())
