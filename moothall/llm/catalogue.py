@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that states their results."""
 
-from moothall.llm import decontaminate, fixity, html_text, jaccard, language, line_runs, token_counts, url_reputation
+from moothall.llm import decontaminate, fixity, html_text, jaccard, language, line_runs, outliers, token_counts, url_reputation
 
-MODULES = (url_reputation, token_counts, fixity, line_runs, language, html_text, decontaminate, jaccard)
+MODULES = (url_reputation, token_counts, fixity, line_runs, language, outliers, html_text, decontaminate, jaccard)
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -148,13 +148,13 @@ def drop_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     copies = find_copies(docs, doc, text, min_words).select(
         F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("removed").alias("__removed"))
     joined = docs.join(copies, (F.col(doc) == F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__body")), "left")
-    lines = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
+    joined = joined.withColumn("__lines", F.split(F.col(text), "\n"))  # a column, so that it is split once per text
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed"))
     kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+        F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
     columns = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
     if counted:
-        columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counted[0]),
+        columns += [F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(counted[0]),
                     F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias(counted[1])]
     return joined.select(*columns)
 
