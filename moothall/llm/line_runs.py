@@ -152,7 +152,8 @@ def drop_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed"))
     kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
-    columns = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
+    # Generated, not projected: a filter on the new text must not repeat the work.
+    columns = [F.explode(F.array(kept)).alias(c) if c == text else F.col(c) for c in docs.columns]
     if counted:
         columns += [F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(counted[0]),
                     F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias(counted[1])]

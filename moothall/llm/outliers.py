@@ -95,11 +95,12 @@ def with_statistics(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     share = [F.asin(F.sqrt(F.least(F.lit(1.0), F.col(c) / chars))) for c in ("__sym", "__upper", "__punct")]
     vector = F.when(n > 0, F.array(F.ln(chars / n), *share))
     failed = (n < LEAST_WORDS) | (100 * F.col("__rep") > MOST_REPEATED * n)
-    return df.select(*names, F.struct(
+    # Generated, not projected: filters and joins on it must not repeat the work on the text.
+    return df.select(*names, F.explode(F.array(F.struct(
         F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).alias("lang"),
         F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("source"),
         n.alias("n_words"), chars.alias("word_chars"), F.col("__sym").alias("n_symbols"), F.col("__dup").alias("n_dup_lines"),
-        F.col("__rep").alias("n_repeat_words"), failed.alias("base_failed"), vector.alias("x")).alias(STAT))
+        F.col("__rep").alias("n_repeat_words"), failed.alias("base_failed"), vector.alias("x")))).alias(STAT))
 
 
 def _bucket(value: Column) -> Column:
