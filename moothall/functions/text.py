@@ -114,3 +114,9 @@ def map_label(value: Column, kind: str) -> Column:
     if kind == "offset":
         return value - 1
     raise ValueError(f"unknown label kind {kind}")
+
+
+def readable_json(value: Column) -> Column:
+    """Whether a text is one JSON value, of any size."""
+    is_list = F.json_array_length(value).isNotNull()
+    return is_list | F.coalesce(F.json_object_keys(value).isNotNull(), F.lit(False))

@@ -16,6 +16,7 @@ from moothall.functions import vectors as vec
 from moothall.functions.text import mask_phrase, strip
 from moothall.operators.features import STOP_WORDS
 from moothall.operators.skew import skew_join
+from moothall.session import durable
 
 Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
@@ -264,15 +265,21 @@ def _bigrams(texts: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def log_perplexity(texts: DataFrame, bigrams: DataFrame, text_id: str, text: str) -> DataFrame:
-    """Mean of -ln p(word | word before) per text, with p from the counted corpus."""
-    firsts = bigrams.groupBy("before").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_rows"))
-    chances = skew_join(bigrams, firsts.drop("n_rows"), ["before"], ["word"], counts=firsts).select(
-        "before", "word", F.ln(F.col("n") / F.col("total")).alias("log_p"))
-    used = _bigrams(texts, text, text_id).groupBy(text_id, "before", "word").agg(F.count(F.lit(1)).alias("uses"))
-    scored = skew_join(used, chances, ["before", "word"], [text_id],
-                       counts=bigrams.select("before", "word", F.col("n").alias("n_rows")))
-    return scored.groupBy(text_id).agg(
-        (-F.sum(F.col("uses") * F.col("log_p")) / F.sum("uses")).alias("log_perplexity"))
+    """Mean of -ln p(word | word before) over all positions of a text; null if it has none.
+
+    p = (n + 1) / (total of the word before + words), where words counts the corpus's second
+    words and one for all others, so pairs the corpus lacks have a chance too.
+    """
+    firsts = durable(bigrams.groupBy("before").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_rows")))
+    words = bigrams.agg(F.count_distinct("word") + 1).scalar()
+    used = durable(_bigrams(texts, text, text_id).groupBy(text_id, "before", "word").agg(F.count(F.lit(1)).alias("uses")))
+    met = skew_join(used, bigrams, ["before", "word"], [text_id], "left",
+                    counts=bigrams.select("before", "word", F.col("n").alias("n_rows")))
+    met = skew_join(met, firsts.drop("n_rows"), ["before"], [text_id, "word"], "left",
+                    counts=firsts.select("before", F.col("total").alias("n_rows")))
+    log_p = F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + words))
+    scored = met.groupBy(text_id).agg((-F.sum(F.col("uses") * log_p) / F.sum("uses")).alias("log_perplexity"))
+    return texts.select(text_id).join(scored, text_id, "left")
 
 
 def audit_report(samples: DataFrame, run: str) -> DataFrame:

@@ -8,16 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from moothall.functions.stem import stem
 from moothall.operators.metrics import binary_metrics
 from moothall.operators.skew import number_rows, skew_join
-from moothall.session import durable
+from moothall.session import durable, scratch_path
 
 UNKNOWN = "[UNK]"
 BROADCAST_BYTES = 64 << 20
@@ -93,10 +94,11 @@ def idf(words: DataFrame, doc: str, n_docs: DataFrame) -> DataFrame:
     return document_frequency(words, doc).withColumn("idf", F.ln((n_docs.scalar() + 1) / (F.col("df") + 1)))
 
 
-def idf_weights(words: DataFrame, idfs: DataFrame, doc: str) -> DataFrame:
+def idf_weights(words: DataFrame, idfs: DataFrame, doc: str, n_docs: DataFrame) -> DataFrame:
     """A10: each position's share of the text's total idf; words never seen in training weigh ln(N + 1)."""
     counts = idfs.select("word", F.col("df").alias("n_rows"))
-    weighed = skew_join(words, idfs.select("word", "idf"), ["word"], [doc, "pos"], "left", counts=counts)
+    met = skew_join(words, idfs.select("word", "idf"), ["word"], [doc, "pos"], "left", counts=counts)
+    weighed = met.withColumn("idf", F.coalesce("idf", F.ln(n_docs.scalar() + 1.0)))
     total = F.sum("idf").over(W.partitionBy(doc))  # the words of one text
     return weighed.select(
         doc, "pos", F.when(total > 0, F.col("idf") / total).otherwise(0.0).alias("weight"))
@@ -201,18 +203,23 @@ def project(fit_on: DataFrame, fit_docs: DataFrame, apply_to: DataFrame, apply_d
 
 # ---- linear model ----
 
-@F.udf(VectorUDT())
-def _sparse(size: int, entries) -> SparseVector:
-    return SparseVector(size, [e.idx for e in entries], [e.value for e in entries])
-
-
 def sparse_vectors(x: DataFrame, docs: DataFrame, doc: str, size: int) -> DataFrame:
-    """(doc, features) as sparse vectors; a row holds one document's terms."""
+    """(doc, features) as sparse vectors; a row holds one document's terms.
+
+    The vectors' stored form is built by expressions, written, and read as vectors.
+    """
     entries = F.array_sort(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("value"))))
     grouped = x.groupBy(doc).agg(entries.alias("entries"))
     empty = F.array().cast("array<struct<idx:bigint,value:double>>")
-    return docs.select(doc).join(grouped, doc, "left").select(
-        doc, _sparse(F.lit(size), F.coalesce("entries", empty)).alias("features"))
+    filled = docs.select(doc).join(grouped, doc, "left").withColumn("entries", F.coalesce("entries", empty))
+    stored = filled.select(doc, F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"),
+        F.transform("entries", lambda e: e["idx"].cast("int")).alias("indices"),
+        F.transform("entries", lambda e: e["value"]).alias("values")).alias("features"))
+    path = scratch_path(docs.sparkSession, "vectors")
+    stored.write.parquet(path)
+    schema = StructType([stored.schema[doc], StructField("features", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def fit_logistic(df: DataFrame, features: str = "features", label: str = "label", c: float = C,

@@ -129,14 +129,15 @@ def labelled_csv(spark, sf_dir):
 SELECT doc_id, md5(text) AS text_md5, length(text) % 3 + 1 AS label FROM documents
 """)
 def zip_by_line(spark, sf_dir):
-    """JSON lines and a label file written in the same order, joined by line number."""
+    """JSON lines and labels in one order, each cut into many files at places of its own, joined by line number."""
     rows, side = scratch_path(spark, "rows"), scratch_path(spark, "side")
-    documents = table(spark, sf_dir, "documents").coalesce(1).sortWithinPartitions("doc_id")
-    documents.select("doc_id", "text").write.json(rows)
-    documents.select((F.length("text") % 3 + 1).cast("string").alias("value")).write.text(side)
+    documents = table(spark, sf_dir, "documents")
+    cut = [documents.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id") for n in (8, 11)]
+    cut[0].select("doc_id", "text").write.json(rows)
+    cut[1].select((F.length("text") % 3 + 1).cast("string").alias("value")).write.text(side)
     left = files.numbered_lines(spark, rows).select(
-        "line_no", F.from_json("value", "doc_id bigint, text string").alias("r")).select("line_no", "r.*")
-    right = files.numbered_lines(spark, side).select("line_no", F.col("value").cast("int").alias("label"))
+        "row_no", F.from_json("value", "doc_id bigint, text string").alias("r")).select("row_no", "r.*")
+    right = files.numbered_lines(spark, side).select("row_no", F.col("value").cast("int").alias("label"))
     return files.zip_by_line(left, right).select("doc_id", F.md5("text").alias("text_md5"), "label")
 
 
@@ -156,13 +157,18 @@ def select_submissions(spark, sf_dir):
     return files.select_submissions(view(spark, sf_dir, SUBMISSIONS), "1996-01-01", "1999-12-31")
 
 
-@query("s8_write_splits", f"SELECT fmt, doc_id, author_wrong, split FROM ({SPLIT_SQL}) s, (VALUES ('parquet'), ('csv'), ('json')) f(fmt)")
+@query("s8_write_splits", f"""
+WITH s AS (SELECT doc_id, author_wrong, split FROM ({SPLIT_SQL}) p)
+SELECT fmt, doc_id, author_wrong, split FROM (
+  SELECT * FROM s UNION ALL SELECT doc_id, author_wrong, 'mini' FROM s WHERE split = 'dev' AND doc_id % 7 = 0) a,
+  (VALUES ('parquet'), ('csv'), ('json')) f(fmt)
+""")
 def write_splits(spark, sf_dir):
     parts = split_exact(spark, sf_dir)
     read = []
     for fmt in ("parquet", "csv", "json"):
         path = scratch_path(spark, f"splits-{fmt}")
-        sinks.write_splits(parts, path, fmt)
+        sinks.write_splits(parts, path, fmt, mini=parts.filter("split = 'dev' AND doc_id % 7 = 0").drop("split"))
         back = spark.read.format(fmt).schema("doc_id bigint, author_wrong int, split string")
         read.append(back.option("header", True).load(path).withColumn("fmt", F.lit(fmt)))
     return read[0].unionByName(read[1]).unionByName(read[2])
@@ -190,7 +196,7 @@ def run_over_shards(spark, sf_dir):
         return df.select("shard", "row_no", "doc_id", F.length("text").alias("score"))
 
     half = rows.filter(F.col("row_no") < rows.agg(F.floor(F.count(F.lit(1)) / 2).alias("n")).scalar())
-    sinks.run_shards(half, 64, score, out)
+    sinks.run_shards(half, 64, score, out, start=5)
     sinks.run_shards(rows, 64, score, out)
     return out
 
@@ -201,12 +207,9 @@ SELECT row_no // 64 AS shard, row_no, doc_id, score FROM (
 """
 
 
-@query("s10_run_shards", f"""
-WITH s AS ({SHARD_SQL}), h AS (SELECT count(*) // 2 AS half FROM documents)
-SELECT shard, row_no, doc_id, score FROM s, h WHERE NOT (shard = half // 64 AND half % 64 <> 0 AND row_no >= half)
-""")
+@query("s10_run_shards", SHARD_SQL)
 def run_shards(spark, sf_dir):
-    """A run over half the rows, then over all: finished shards are not run again."""
+    """A run over half the rows from the fifth on, then over all: what is finished is not run again, and no row is lost."""
     rows, _ = sinks.read_shards(spark, run_over_shards(spark, sf_dir), 0, 1 << 31)
     return rows
 
@@ -223,6 +226,21 @@ def read_shards(spark, sf_dir):
             .unionByName(missing.select(F.lit("missing").alias("kind"), "shard")))
 
 
+@query("s11_pair_shards", """
+SELECT conv_id // 16 AS shard, conv_id AS row_no, md5(p) AS premise_md5, md5(h) AS hypothesis_md5, length(p) - length(h) AS score
+FROM (SELECT a.conv_id, a.text AS p, b.text AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id WHERE a.turn = 0 AND b.turn = 1) t
+""")
+def pair_shards(spark, sf_dir):
+    """Shards of text pairs: the first two turns as premise and hypothesis."""
+    out, turns = scratch_path(spark, "pair-shards"), table(spark, sf_dir, "conversations")
+    first, second = (turns.filter(F.col("turn") == n).select(F.col("conv_id").alias("row_no"), F.col("text").alias(name))
+                     for n, name in enumerate(("premise", "hypothesis")))
+    sinks.run_shards(first.join(second, "row_no"), 16, lambda df: df.select(
+        "shard", "row_no", "premise", "hypothesis", (F.length("premise") - F.length("hypothesis")).alias("score")), out)
+    rows, _ = sinks.read_shards(spark, out, 0, 1 << 31)
+    return rows.select("shard", "row_no", F.md5("premise").alias("premise_md5"), F.md5("hypothesis").alias("hypothesis_md5"), "score")
+
+
 @query("s12_materialize", "SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang")
 def materialize(spark, sf_dir):
     path = scratch_path(spark, "cache")
@@ -262,6 +280,6 @@ SELECT a.doc_id, b.doc_id AS shuffled_id FROM (
 def positional_zip(spark, sf_dir):
     """Two orders of the documents side by side."""
     ids = table(spark, sf_dir, "documents").select("doc_id")
-    left = number_rows(ids, ["doc_id"], "line_no")
-    right = hash_position(ids.withColumnRenamed("doc_id", "shuffled_id"), "shuffled_id", 0, "line_no")
+    left = number_rows(ids, ["doc_id"], "row_no")
+    right = hash_position(ids.withColumnRenamed("doc_id", "shuffled_id"), "shuffled_id", 0, "row_no")
     return files.zip_by_line(left, right).select("doc_id", "shuffled_id")

@@ -202,15 +202,24 @@ def idf(spark, sf_dir):
     return rounded(features.idf(document_words(spark, sf_dir), "doc_id", documents.agg(F.count(F.lit(1)))))
 
 
+TRAIN_IDF_SQL = f"""
+SELECT word, count(DISTINCT doc_id) AS df FROM ({WORDS}) w WHERE doc_id % 10 <> 3 GROUP BY word
+"""
+
+
 @query("a10_idf_weights", f"""
-SELECT doc_id, pos, round(CASE WHEN s > 0 THEN idf / s ELSE 0 END, 6) AS weight FROM (
-  SELECT w.doc_id, w.pos, i.idf, sum(i.idf) OVER (PARTITION BY w.doc_id) AS s
-  FROM ({WORDS}) w JOIN ({IDF_SQL}) i ON w.word = i.word) x
+WITH n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 <> 3),
+i AS (SELECT w.doc_id, w.pos, ln((n + 1) / CAST(coalesce(df, 0) + 1 AS DOUBLE)) AS idf FROM ({WORDS}) w
+      LEFT JOIN ({TRAIN_IDF_SQL}) t ON w.word = t.word, n)
+SELECT doc_id, pos, round(CASE WHEN s > 0 THEN idf / s ELSE 0 END, 6) AS weight
+FROM (SELECT *, sum(idf) OVER (PARTITION BY doc_id) AS s FROM i) x
 """)
 def idf_weights(spark, sf_dir):
-    words = document_words(spark, sf_dir)
-    idfs = features.idf(words, "doc_id", table(spark, sf_dir, "documents").agg(F.count(F.lit(1))))
-    return rounded(features.idf_weights(words, idfs, "doc_id"))
+    """Fitted on nine tenths of the documents, applied to all."""
+    words = durable(document_words(spark, sf_dir))
+    n_docs = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 3").agg(F.count(F.lit(1)))
+    idfs = durable(features.idf(words.filter("doc_id % 10 <> 3"), "doc_id", n_docs))
+    return rounded(features.idf_weights(words, idfs, "doc_id", n_docs))
 
 
 @query("a12_loss_totals", """

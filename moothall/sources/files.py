@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from moothall.functions.text import map_label, safe_key, strip
+from moothall.functions.text import map_label, readable_json, safe_key, strip
 from moothall.operators.skew import number_rows
 from moothall.session import durable
 
@@ -38,7 +38,7 @@ def read_post_files(spark: SparkSession, path: str) -> DataFrame:
         strip(F.get("lines", last - 2)).alias("trees"),
         F.get("lines", last - 1).alias("link"),
     )
-    return posts.filter(F.try_parse_json("trees").isNotNull())
+    return posts.filter(readable_json(F.col("trees")))
 
 
 def write_post_files(posts: DataFrame, path: str) -> None:
@@ -76,7 +76,7 @@ def class_counts(spark: SparkSession) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their zero-based number within the file.
+    """Lines of text files with their zero-based number in the file (line_no) and over all files in path order (row_no).
 
     A task reads a block of a file front to back, so the order inside a block is known; the
     blocks of a file are then put in order. No line is shuffled. The scan is written once, as
@@ -86,14 +86,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value"))
     blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    starts = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # One row per block of a file: the only table that is summed in one place.
+    overall = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", "first", before.alias("before"), overall.alias("overall"))
+    inside = F.col("at") - F.col("first")
     return lines.join(starts, ["file", "block"]).select(
-        "file", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "value")
+        "file", (F.col("before") + inside).alias("line_no"), (F.col("overall") + inside).alias("row_no"), "value")
 
 
-def zip_by_line(rows: DataFrame, side: DataFrame, on: tuple[str, ...] = ("line_no",)) -> DataFrame:
-    """Row i gets line i of the side file."""
+def zip_by_line(rows: DataFrame, side: DataFrame, on: tuple[str, ...] = ("row_no",)) -> DataFrame:
+    """Row i gets line i of the side file; both may be cut into any files."""
     return rows.join(side, list(on))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moothall.functions.text import readable_json
+from moothall.session import durable
+
 SEPARATOR = "-" * 20
 
 
@@ -16,8 +21,10 @@ def finished(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def write_splits(df: DataFrame, path: str, fmt: str = "parquet", split: str = "split") -> None:
-    """All splits in one pass, a folder per split."""
+def write_splits(df: DataFrame, path: str, fmt: str = "parquet", split: str = "split", mini: DataFrame | None = None) -> None:
+    """All splits in one pass, a folder per split; `mini` holds a small slice of its own, without the split column."""
+    if mini is not None:
+        df = df.unionByName(mini.withColumn(split, F.lit("mini")))
     writer = df.write.partitionBy(split).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
@@ -30,38 +37,49 @@ def write_pairs(df: DataFrame, path: str, original: str = "original", result: st
     df.filter(F.col(result).isNotNull()).select(lines.alias("value")).write.mode("append").text(path)
 
 
-def _done_shards(spark: SparkSession, out: str) -> DataFrame:
+MANIFEST = "run string, shard bigint, first bigint, last bigint"
+
+
+def _finished_ranges(spark: SparkSession, out: str) -> DataFrame:
+    """Row ranges (run, shard, first, last) whose output is committed."""
     if finished(spark, f"{out}/manifest"):
-        return spark.read.schema("shard bigint").parquet(f"{out}/manifest").distinct()
-    return spark.createDataFrame([], "shard bigint")
+        return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    return spark.createDataFrame([], MANIFEST)
 
 
 def run_shards(df: DataFrame, shard_size: int, fn: Callable[[DataFrame], DataFrame], out: str,
                row_no: str = "row_no", start: int = 0) -> None:
-    """Run `fn` over row ranges of `shard_size`, skipping ranges already done.
+    """Run `fn` over the rows not yet done, in row ranges of `shard_size`.
 
-    A shard counts as done once the manifest names it, which happens after its output is
-    committed; a broken attempt is overwritten by the next one.
+    The manifest names the row ranges of each shard that are done, after their output is
+    committed. Rows that come later for a shard, or lie before the `start` of an earlier run,
+    are run then; output of a broken attempt is in no manifest and never read.
     """
     spark = df.sparkSession
     rows = df.filter(F.col(row_no) >= start)
     if rows.isEmpty():
         raise ValueError(f"start {start} is beyond the last row")
     sharded = rows.withColumn("shard", F.floor(F.col(row_no) / shard_size))
-    pending = sharded.join(_done_shards(spark, out), "shard", "left_anti")
-    (fn(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("shard").parquet(f"{out}/data"))
-    pending.select("shard").distinct().write.mode("append").parquet(f"{out}/manifest")
+    done = _finished_ranges(spark, out).withColumnRenamed("shard", "_shard")
+    pending = sharded.join(done, (F.col("shard") == F.col("_shard")) & F.col(row_no).between(F.col("first"), F.col("last")), "left_anti")
+    in_order = W.partitionBy("shard").orderBy(row_no)  # at most shard_size rows
+    stretches = pending.select("shard", F.col(row_no).alias("_row"), (F.col(row_no) - F.row_number().over(in_order)).alias("_stretch"))
+    ranges = durable(stretches.groupBy("shard", "_stretch").agg(F.min("_row").alias("first"), F.max("_row").alias("last")))
+    if ranges.isEmpty():
+        return
+    run = uuid.uuid4().hex
+    fn(pending).write.partitionBy("shard").parquet(f"{out}/data/shard_run={run}")
+    ranges.select(F.lit(run).alias("run"), "shard", "first", "last").write.mode("append").parquet(f"{out}/manifest")
 
 
 def read_shards(spark: SparkSession, out: str, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the finished shards in [first, last), and the shards that are missing."""
+    """Rows of the finished ranges of shards in [first, last), and the shards without any."""
+    done = _finished_ranges(spark, out)
     wanted = spark.range(first, last).select(F.col("id").alias("shard"))
-    done = _done_shards(spark, out)
-    data = spark.read.parquet(f"{out}/data").withColumn("shard", F.col("shard").cast("long"))
-    in_range = F.col("shard").between(first, last - 1)
-    rows = data.filter(in_range).join(done, "shard", "left_semi")
-    return rows, wanted.join(done, "shard", "left_anti")
+    data = spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data").withColumn("shard", F.col("shard").cast("long"))
+    rows = data.filter(F.col("shard").between(first, last - 1)).join(
+        done.select(F.col("run").alias("shard_run")).distinct(), "shard_run", "left_semi")
+    return rows.drop("shard_run"), wanted.join(done, "shard", "left_anti")
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -80,7 +98,7 @@ def resume_after(df: DataFrame, done: DataFrame, counter: str = "post_id", name:
 
 def split_valid(df: DataFrame, json: str = "trees", link: str = "link") -> tuple[DataFrame, DataFrame]:
     """Rows with at least one readable comment, and each unreadable link once."""
-    readable = F.try_parse_json(json).isNotNull()
+    readable = readable_json(F.col(json))
     n_comments = F.coalesce(F.json_array_length(json), F.lit(0))
     good = df.filter(readable & (n_comments > 0))
     bad = df.filter(~readable).select(link).distinct()

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moothall.operators import tally
 
 
-def live_tally(comments: DataFrame, watermark: str = "1 day", comment: str = "idx", ts: str = "ts") -> DataFrame:
+def live_tally(comments: DataFrame, watermark: str = "1 day", comment: Sequence[str] = ("post_id", "idx"), ts: str = "ts") -> DataFrame:
     """A1 on a stream of comments (post_id, idx, ts, verdict), for update mode.
 
-    A comment delivered twice within the watermark counts once; one later than the watermark is
+    `comment` names the columns that identify a comment; idx is its place within the post. One
+    delivered twice within the watermark counts once; one later than the watermark is
     dropped. The state holds one row of counts per post.
     """
     timed = comments.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    return tally.tally(timed.dropDuplicatesWithinWatermark([comment]))
+    return tally.tally(timed.dropDuplicatesWithinWatermark(list(comment)))
 
 
 def run_available(tallied: DataFrame, out: str, checkpoint: str) -> None:
@@ -29,9 +34,33 @@ def run_available(tallied: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _folders(spark: SparkSession, out: str) -> dict[str, list[int]]:
+    """Numbers of the finished folders, `batch` and `upto`."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(out)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"batch": [], "upto": []}
+    for status in system.listStatus(root):
+        name = re.fullmatch(r"(batch|upto)=(\d+)", status.getPath().getName())
+        if name and system.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[name[1]].append(int(name[2]))
+    return found
+
+
+def compact(spark: SparkSession, out: str) -> None:
+    """Write the current tally as one table; later reads take it and the batches after it."""
+    batches = _folders(spark, out)["batch"]
+    if batches:
+        latest(spark, out).write.mode("overwrite").parquet(f"{out}/upto={max(batches)}")
+
+
 def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The current tally: the newest row of every post."""
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    """The current tally: the newest row of every post, from the last compacted table and the batches after it."""
+    found = _folders(spark, out)
+    done = max(found["upto"], default=-1)
+    parts = [(n, f"{out}/batch={n}") for n in sorted(found["batch"]) if n > done]
+    if done >= 0:
+        parts.append((done, f"{out}/upto={done}"))
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(path).withColumn("batch", F.lit(n)) for n, path in parts])
     values = [c for c in rows.columns if c not in ("post_id", "batch")]
-    newest = F.max_by(F.struct(*values), F.col("batch").cast("long"))
+    newest = F.max_by(F.struct(*values), F.col("batch"))
     return rows.groupBy("post_id").agg(newest.alias("r")).select("post_id", "r.*")
