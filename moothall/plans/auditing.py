@@ -56,9 +56,10 @@ SELECT remark_id, text, described FROM (
   FROM conversations) d
 """
 SPARK_DESCRIBED = DESCRIBED.format(second="coalesce(get(split(text, ' '), 1), '-')", third="coalesce(get(split(text, ' '), 2), '-')")
-DUCK_TARGETS = """
-SELECT DISTINCT remark_id, text, phrase FROM (
-  SELECT conv_id * 1000 + turn AS remark_id, text, unnest([coalesce(string_split(text, ' ')[2], '-'), coalesce(string_split(text, ' ')[3], '-')]) AS phrase
+# A target ends at a colon, and white space in it becomes one blank.
+DUCK_TARGETS = r"""
+SELECT DISTINCT remark_id, text, trim(string_split(regexp_replace(raw, '\s+', ' ', 'g'), ':')[1]) AS phrase FROM (
+  SELECT conv_id * 1000 + turn AS remark_id, text, unnest([coalesce(string_split(text, ' ')[2], '-'), coalesce(string_split(text, ' ')[3], '-')]) AS raw
   FROM conversations) t
 """
 
@@ -73,16 +74,9 @@ def masked_targets(spark, sf_dir):
     return audit.mask_targets(remarks, targets, "remark_id", "text")
 
 
-@query("r1_targets", f"""
-SELECT remark_id, phrase FROM ({DUCK_TARGETS}) t WHERE NOT contains(phrase, ':') AND trim(phrase, chr(10)) <> '' AND NOT contains(phrase, chr(10))
-""")
+@query("r1_targets", f"SELECT remark_id, phrase FROM ({DUCK_TARGETS}) t")
 def targets(spark, sf_dir):
-    """Targets whose words hold no colon or line break."""
-    found = audit.role_spans(described(spark, sf_dir), "remark_id", "described", "ARG0")
-    broken = described(spark, sf_dir).select("remark_id", F.explode(F.slice(F.split("text", " "), 2, 2)).alias("raw")).filter(
-        F.col("raw").contains("\n") | F.col("raw").contains(":")).select(
-        "remark_id", F.regexp_replace("raw", r"\s+", " ").alias("phrase"))
-    return found.join(broken, ["remark_id", "phrase"], "left_anti")
+    return audit.role_spans(described(spark, sf_dir), "remark_id", "described", "ARG0")
 
 
 NEIGHBOURS = f"""
@@ -93,8 +87,7 @@ GROUP BY ALL
 """
 MASKED = f"""
 SELECT remark_id, phrase, replace(replace(text, concat(' ', phrase, ' '), '<mask>'), '<mask>', ' <mask> ') AS masked
-FROM ({DUCK_TARGETS}) t WHERE contains(text, concat(' ', phrase, ' ')) AND NOT contains(phrase, ':')
-  AND NOT contains(phrase, chr(10))
+FROM ({DUCK_TARGETS}) t WHERE contains(text, concat(' ', phrase, ' '))
 """
 FILLERS = f"""
 SELECT remark_id, phrase, word, n, rank FROM (
@@ -110,14 +103,9 @@ WHERE rank <= 100
 """
 
 
-def clean_masked(spark, sf_dir):
-    """Masked texts whose target is one plain word."""
-    return masked_targets(spark, sf_dir).filter(~F.col("phrase").contains(" "))
-
-
 def candidates(spark, sf_dir):
     neighbours = audit.neighbour_counts(table(spark, sf_dir, "documents"), "text")
-    masked = durable(clean_masked(spark, sf_dir))
+    masked = durable(masked_targets(spark, sf_dir))
     return masked, audit.fillers(masked, neighbours, ["remark_id", "phrase"])
 
 

@@ -54,13 +54,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan of fewer parts than the session has cores, by its first column.
-
-    A small file with one row group would otherwise keep a single core busy. A scan of many
-    files is left as it is, so large tables are never shuffled here.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, scan.columns[0]) if scan.rdd.getNumPartitions() < cores else scan

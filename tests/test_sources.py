@@ -46,6 +46,8 @@ def test_line_numbers_over_many_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 6000
     assert all(r.value == f"{r.file[-1]}{r.line_no}" for r in rows)
+    assert sorted(r.row_no for r in rows) == list(range(6000))
+    assert all(r.row_no == r.line_no + 3000 * (r.file[-1] == "b") for r in rows)
 
 
 def test_shards_run_once_and_missing_ones_are_reported(spark, tmp_path):
@@ -100,3 +102,28 @@ def test_live_tally_over_batches_with_repeats_and_late_rows(spark, tmp_path):
     assert second == {1: (3, 2, 1), 2: (1, 0, 1)}
     third = arrive((2, 5, "2024-01-01 09:00:00", "AUTHOR"), (2, 6, "2024-01-01 15:30:00", "OTHER"))
     assert third == {1: (3, 2, 1), 2: (2, 0, 2)}
+
+
+def test_live_tally_counts_equal_places_of_different_posts(spark, tmp_path):
+    arriving, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "post_id int, idx int, ts timestamp, verdict string"
+    for hour in (10, 11):
+        rows = [(2, hour, f"2024-01-01 {hour}:00:00", "AUTHOR"), (2, hour + 10, f"2024-01-01 {hour}:01:00", "OTHER"),
+                (1, hour, f"2024-01-01 {hour}:02:00", "OTHER")]
+        df = spark.createDataFrame(rows + rows[:1], "post_id int, idx int, ts string, verdict string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(arriving)
+        live.run_available(live.live_tally(spark.readStream.schema(schema).parquet(arriving), "1 hour"), out, state)
+        live.compact(spark, out)
+        live.compact(spark, out)
+    assert {r.post_id: (r.n_valid, r.n_author, r.n_other) for r in live.latest(spark, out).collect()} == {2: (4, 2, 2), 1: (2, 0, 2)}
+
+
+def test_shards_take_rows_that_come_later(spark, tmp_path):
+    out, rows = str(tmp_path / "shards"), spark.range(10).withColumnRenamed("id", "row_no")
+    keep = lambda df: df.select("shard", "row_no")
+    sinks.run_shards(rows.filter("row_no <> 4"), 4, keep, out, start=2)
+    sinks.run_shards(rows.filter("row_no < 6"), 4, keep, out)
+    sinks.run_shards(rows, 4, keep, out)
+    sinks.run_shards(rows, 4, keep, out)
+    found, missing = sinks.read_shards(spark, out, 0, 3)
+    assert sorted(r.row_no for r in found.collect()) == list(range(10)) and missing.count() == 0
