@@ -25,9 +25,16 @@ def thread_comments(spark, sf_dir):
         "path", F.array_repeat(F.lit(0), (F.col("turn") + 1).cast("int"))).withColumn("ups", F.col("ups").cast("long"))
 
 
+def branched_comments(spark, sf_dir):
+    """Turn t replies to turn (t - 1) div 2: the path holds the binary digits of t + 1 behind the first."""
+    digits = F.split(F.substring(F.bin(F.col("turn") + 1), 2, 64), "")
+    turns = F.transform(F.filter(digits, lambda d: d != ""), lambda d: d.cast("int"))
+    return thread_comments(spark, sf_dir).withColumn("path", F.concat(F.array(F.lit(0)), turns))
+
+
 def thread_posts(spark, sf_dir):
     """Post rows in the shape of a scraped post: the first turn as the body, all turns as the tree."""
-    trees = threads.build_threads(thread_comments(spark, sf_dir))
+    trees = threads.build_threads(branched_comments(spark, sf_dir))
     first = view(spark, sf_dir, TURNS).filter("turn = 0")
     return first.join(trees, "post_id").select(
         "post_id", F.concat(F.lit("AITA for post? "), F.col("post_id")).alias("title"), "author", "body",
@@ -35,7 +42,10 @@ def thread_posts(spark, sf_dir):
         F.concat(F.lit("https://forum.example/"), F.col("post_id")).alias("link"))
 
 
-@query("n1_flatten_threads", "SELECT conv_id AS post_id, turn AS depth, role AS author, md5(text) AS body_md5, length(text) AS ups, 0 AS idx FROM conversations")
+@query("n1_flatten_threads", """
+SELECT conv_id AS post_id, CAST(floor(log2(turn + 1)) AS INTEGER) AS depth, role AS author, md5(text) AS body_md5, length(text) AS ups,
+       CASE WHEN turn = 0 THEN 0 ELSE (turn - 1) % 2 END AS idx FROM conversations
+""")
 def flatten_threads(spark, sf_dir):
     flat = threads.flatten_threads(thread_posts(spark, sf_dir))
     return flat.select("post_id", "depth", "author", F.md5("body").alias("body_md5"), "ups", "idx")
@@ -51,6 +61,15 @@ def build_threads(spark, sf_dir):
     return threads.build_threads(thread_comments(spark, sf_dir)).select("post_id", "idx", F.md5("tree").alias("tree_md5"))
 
 
+@query("n2_orphans", """
+SELECT c.conv_id AS post_id, c.turn FROM conversations c WHERE c.turn > 0 AND c.turn % 5 <> 1
+AND NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = (c.turn - 1) // 2 AND p.turn % 5 <> 1)
+""")
+def orphans(spark, sf_dir):
+    """Replies left without a parent when some turns are taken away."""
+    return threads.orphans(branched_comments(spark, sf_dir).filter("turn % 5 <> 1")).select("post_id", "turn")
+
+
 @query("n3_top_level", """
 SELECT l_orderkey AS post_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus, l_returnflag, l_partkey) - 1 AS idx,
        l_returnflag AS author, concat('line ', l_linestatus) AS body, l_partkey AS ups
