@@ -14,7 +14,7 @@ lower-cased), or the whole sequence if it has fewer words. Two documents link if
    in different groups are paired, on the shared shingle, those outside its largest group against all
    others: a large group of near copies costs its size, not its square.
    Pairs pass the length filter, the prefix filter, the positional filter and a suffix filter (both sets cut
-   into 16 fixed parts: the part sizes bound their difference), and each pair is verified once.
+   into 64 fixed parts: the part sizes bound their difference), and each pair is verified once.
 4. Sets are made again from the text, only for classes of some candidate pair, by a pass over
    the documents with a Bloom filter of fixed size; it never hides a class, it only lets a few others through.
 5. Links are closed to components, and classes carry them back to all documents.
@@ -23,7 +23,7 @@ Groups hold every link between different texts: a pair that is not compared is i
 already or cannot reach the limit.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing;
-a repeated row is a copy; rows without an id have no component and take no part; an empty
+a repeated row is a copy, and of two texts under one id the smaller one is verified; rows without an id have no component and take no part; an empty
 table gives no rows. Only the named columns are read.
 """
 
@@ -44,7 +44,7 @@ from moothall.session import durable
 WIDTH, PERCENT = 3, 90
 COUNT_BITS, COUNT_PARTS = 20, 64
 BLOOM_BITS, BLOOM_HASHES = 26, 4
-PARTS = 16
+PARTS = 64
 
 
 class Shingler(WordHasher):
@@ -110,7 +110,7 @@ def _packed(counts: np.ndarray) -> bytes:
 
 
 def describe_sets(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, prefix, parts): set size, set digest, rare-first prefix, sizes of 16 parts."""
+    """(doc_id, n, digest, prefix, parts): set size, set digest, rare-first prefix, sizes of 64 parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rarity = Shingler(width), classes.value
         bits = len(rarity).bit_length() - 1
@@ -122,7 +122,7 @@ def describe_sets(docs: DataFrame, classes, width: int, percent: int) -> DataFra
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                     order = np.lexsort((tokens, rarity[(tokens >> np.uint64(64 - bits)).astype(np.int64)]))
                     prefixes.append(tokens[order[: len(tokens) - -(-percent * len(tokens) // 100) + 1]].view(np.int64))
-                    parts.append(np.bincount((tokens >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                    parts.append(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
                  pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "prefix", "parts"])
@@ -187,13 +187,20 @@ def _similar_size(nx: Column, ny: Column, percent: int) -> Column:
     return 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the length and the suffix filter."""
+    sides = [classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parts").alias(f"parts_{k}")) for k in "ab"]
+    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(
+        _similar_size(n_a, n_b, percent) & (apart <= n_a + n_b - 2 * _least_overlap(n_a, n_b, percent))).select("a", "b")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    pairs = durable(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = durable(wanted)
-    sets = _sets_of(docs, wanted, width).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = durable(sets)
+    """The pairs (a, b) that link; `docs` has an id once."""
+    pairs = durable(pairs)
+    wanted = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = durable(_sets_of(docs, wanted, width))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y")
 
@@ -218,11 +225,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
 
     # Each class against the class it shares most with, if that is a good part of its prefix.
     prefix_length = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)) + 1
-    firsts = shared.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(
+    counted = shared.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(
         F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
-    best = firsts.filter(2 * F.col("common") >= prefix_length).groupBy("node").agg(
+    best = counted.filter(2 * F.col("common") >= prefix_length).groupBy("node").agg(
         F.max(F.struct("common", (-F.col("leader")).alias("leader"))).alias("best"))
-    links = _verify(best.select(F.col("node").alias("a"), (-F.col("best.leader")).alias("b")), docs, width, percent)
+    firsts = best.select(F.col("node").alias("a"), (-F.col("best.leader")).alias("b"))
+    links = _verify(_possible(firsts, classes, percent), docs, width, percent)
     groups = components(links)
 
     # Then pairs over different groups. A shingle whose holders are all in one group is done.
@@ -245,11 +253,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
                    & F.when(smaller_x, F.col("short_x")).otherwise(F.col("short_y"))
                    & (rest >= _least_overlap(F.col("n_x"), F.col("n_y"), percent)))
     pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    sides = [classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parts").alias(f"parts_{k}")) for k in "ab"]
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    pairs = pairs.join(sides[0], "a").join(sides[1], "b").filter(
-        apart <= F.col("n_a") + F.col("n_b") - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    return links.union(_verify(pairs, docs, width, percent))
+    return links.union(_verify(_possible(pairs, classes, percent), docs, width, percent))
 
 
 def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -261,7 +265,10 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", widt
     known = described.filter("doc_id IS NOT NULL AND n > 0")
     classes = durable(known.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
-    links = link_classes(read.filter("doc_id IS NOT NULL"), classes, width, percent)
+    once = read.filter("doc_id IS NOT NULL")
+    if not known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        once = durable(once.groupBy("doc_id").agg(F.min("text").alias("text")))
+    links = link_classes(once, classes, width, percent)
     found = classes.select("digest", "node").join(components(links), "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
     return described.select("doc_id", "n", "digest").join(found, "digest", "left").select(
