@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moothall.llm import decontaminate, jaccard, line_runs, mixing, outliers
-from moothall.session import durable
+from moothall.session import scratch_scope
 
 NEAR_WIDTH, NEAR_PERCENT = 5, 80  # words of a shingle, least similarity
 
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written as Parquet and read as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with scratch_scope(spark) as keep:  # a stage's intermediates go when its result is written
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

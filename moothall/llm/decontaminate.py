@@ -128,7 +128,7 @@ def find_hits(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         scanner = Scanner(lengths, bitmap)
         for batch in batches:
             n_words, n_hit, found_items = [], [], []
-            for _, texts in chunks(batch.column(1).to_pylist()):
+            for _, texts in chunks(batch.column(1)):
                 sizes, found, window, _, _ = scanner.scan(texts)
                 for k, size in enumerate(sizes.tolist()):
                     hits, ids = _verified(found[k], lambda at, length, k=k: window(k, at, length), known)
@@ -169,7 +169,7 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame, doc: str, text: str) -> D
         scanner = Scanner(*lookup.value)
         for batch in batches:
             ids, digests = batch.column(0), batch.column(2).to_pylist()
-            for at, texts in chunks(batch.column(1).to_pylist()):
+            for at, texts in chunks(batch.column(1)):
                 sizes, found, window, _, _ = scanner.scan(texts)
                 rows = [(at + k, int(sizes[k]), None, None, None) for k in range(len(texts))]
                 rows += [(at + k, None, start, length, window(k, start, length))
@@ -214,9 +214,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
         lengths, bitmap, known = lookup.value
         scanner = Scanner(lengths, bitmap)
         for batch in batches:
-            values = batch.column(column).to_pylist()
-            kept = np.ones(len(values), bool)
-            for at, texts in chunks(values):
+            kept, changed = np.ones(batch.num_rows, bool), {}
+            for at, texts in chunks(batch.column(column)):
                 sizes, found, window, first, (start, end, ends) = scanner.scan(texts)
                 for k in range(len(texts)):
                     if not found[k]:
@@ -227,10 +226,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
                     elif hits:
                         hit = _covered(int(sizes[k]), hits)
                         offset = int(ends[k]) - len(texts[k]) - 1
-                        values[at + k] = _cut(texts[k], hit, start[first[k]:first[k + 1]] - offset, end[first[k]:first[k + 1]] - offset)
+                        changed[at + k] = _cut(texts[k], hit, start[first[k]:first[k + 1]] - offset, end[first[k]:first[k + 1]] - offset)
             arrays = list(batch.columns)
-            if action != "drop":
-                arrays[column] = pa.array(values, pa.string())
+            if changed:
+                arrays[column] = pa.array([changed.get(k, v) for k, v in enumerate(batch.column(column).to_pylist())], pa.string())
             out = pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
             yield out.filter(pa.array(kept)) if not kept.all() else out
 

@@ -77,7 +77,7 @@ def shingle_classes(texts: DataFrame, width: int, bits: int = COUNT_BITS) -> np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, totals = Shingler(width), np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for _, held in chunks(batch.column(0).to_pylist()):
+            for _, held in chunks(batch.column(0)):
                 windows, words, first = shingler.windows(held)
                 inside = np.ones(len(windows), bool)
                 for k in range(1, width):  # windows that would cross into the next text
@@ -116,7 +116,7 @@ def describe_sets(docs: DataFrame, classes, width: int, percent: int) -> DataFra
         bits = len(rarity).bit_length() - 1
         for batch in batches:
             n, digests, prefixes, parts = [], [], [], []
-            for _, texts in chunks(batch.column(1).to_pylist()):
+            for _, texts in chunks(batch.column(1)):
                 for tokens in shingler.sets(texts):
                     n.append(len(tokens))
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
@@ -133,11 +133,11 @@ def describe_sets(docs: DataFrame, classes, width: int, percent: int) -> DataFra
 def _bloom_of(ids: DataFrame) -> np.ndarray:
     """Bits of a Bloom filter over the column `node`, of fixed size."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
         for batch in batches:
             for slots in _bloom_slots(batch.column(0).to_numpy(zero_copy_only=False)):
-                bits[slots] = True
-        packed = np.packbits(bits).reshape(1 << 12, -1)
+                np.bitwise_or.at(bits, slots >> 3, (128 >> (slots & 7)).astype(np.uint8))
+        packed = bits.reshape(1 << 12, -1)
         used = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["part", "bits"])
 
@@ -172,7 +172,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for slots in _bloom_slots(ids):
                 keep &= (packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
             places = pa.array(np.flatnonzero(keep))
-            tokens = [t.tobytes() for _, held in chunks(batch.column(1).take(places).to_pylist()) for t in shingler.sets(held)]
+            tokens = [t.tobytes() for _, held in chunks(batch.column(1).take(places)) for t in shingler.sets(held)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(places), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
     return docs.mapInArrow(run, "node bigint, tokens binary")

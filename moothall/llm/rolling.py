@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20  # texts are handled in chunks of about this size; one text is never cut
 
@@ -65,11 +66,11 @@ class WordHasher:
         return low, start, end, ends, np.searchsorted(start, np.concatenate([[0], ends]))
 
 
-def chunks(values: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of about `limit` bytes together, with the place of the first."""
+def chunks(values: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about `limit` bytes together, with the place of the first; null is the empty text."""
     at, held, size = 0, [], 0
     for k, value in enumerate(values):
-        held.append((value or "").encode())
+        held.append((value.as_py() or "").encode())
         size += len(held[-1]) + 1
         if size >= limit:
             yield at, held
