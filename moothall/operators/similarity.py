@@ -27,7 +27,7 @@ TEXTS_PER_BLOCK = 256
 KEYS_PER_BLOCK = 1024
 QUERIES_PER_BLOCK = 512
 FARTHEST = 10_000
-SEGMENTS = 3  # one more than the edits the segment index allows
+REACHES = (2, 4)  # edits found through an index of one segment more
 FEW_BLOCKS = 16
 MOST_PIVOTS = 1024
 RING_WIDTH = 0.05
@@ -46,29 +46,36 @@ def _blocks(rows: DataFrame, on: list[str], spread: str, packed: Column, per_blo
 
 # ---- edit distance ----
 
-def _segment(length: Column, index: int) -> tuple[Column, Column]:
+def _segment(length: Column, index: int, segments: int) -> tuple[Column, Column]:
     """Zero-based start and size of one of the equal segments of a text of that length."""
-    base = F.floor(length / SEGMENTS).cast("int")
-    size = base if index < SEGMENTS - 1 else length - base * (SEGMENTS - 1)
+    base = F.floor(length / segments).cast("int")
+    size = base if index < segments - 1 else length - base * (segments - 1)
     return base * index, size
 
 
-def _segment_keys(text: Column, reach: int) -> Column:
-    """(length, index, segment) keys a text of up to `reach` edits away may share."""
+def _segment_keys(text: Column, reach: int, shortest: int, longest: int) -> Column:
+    """(length, index, segment) keys a text of up to `reach` edits away may share, for lengths that exist."""
     own = F.length(text)
-    lengths = F.sequence(F.greatest(own - reach, F.lit(0)), own + reach)
+    lengths = _lengths(own, reach, shortest, longest)
 
     def keys_at(index: int) -> Column:
         def keys_of(length: Column) -> Column:
-            start, size = _segment(length, index)
+            start, size = _segment(length, index, reach + 1)
+            # Of the edits, at most `index` lie before this segment and the rest must make up the lengths.
             starts = F.filter(
-                F.sequence(F.greatest(start - reach, F.lit(0)), start + reach), lambda at: at + size <= own)
+                F.sequence(F.greatest(start - reach, F.lit(0)), start + reach), lambda at: (at + size <= own)
+                & (F.abs(at - start) + F.abs(own - length - (at - start)) <= reach))
             return F.transform(starts, lambda at: F.struct(
                 length.alias("length"), F.lit(index).alias("index"), F.substr(text, at + 1, size).alias("segment")))
 
         return F.flatten(F.transform(lengths, keys_of))
 
-    return F.array_distinct(F.flatten(F.array(*[keys_at(index) for index in range(SEGMENTS)])))
+    return F.array_distinct(F.flatten(F.array(*[keys_at(index) for index in range(reach + 1)])))
+
+
+def _lengths(own: Column, reach: int, shortest: int, longest: int) -> Column:
+    first, last = F.greatest(own - reach, F.lit(shortest)), F.least(own + reach, F.lit(longest))
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
 def _closest(probes: DataFrame, blocks: DataFrame, sizes: DataFrame, on: list[str], reach: int) -> DataFrame:
@@ -87,9 +94,10 @@ def _closest(probes: DataFrame, blocks: DataFrame, sizes: DataFrame, on: list[st
 def nearest_by_edit(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str) -> DataFrame:
     """For each left text the closest right text, case folded; ties go to the lowest id.
 
-    Equal texts are matched first. Texts up to two edits apart share one of three segments,
-    found by key. What is left is compared within a band of lengths that doubles until the
-    best match found lies within it: a text outside the band differs by more.
+    Equal texts are matched first. Texts up to r edits apart share one of r + 1 segments, found by
+    key, first for two edits and then for four. What is left is compared within a band of the
+    lengths that exist, which doubles until the best match found lies within it: a text outside the
+    band differs by more. Left rows without text, or with nothing below `FARTHEST` edits, get nulls.
     """
     low = F.lower(F.col(text))
     asked = durable(left.select(low.alias("q")).filter("q IS NOT NULL").groupBy("q").agg(
@@ -100,28 +108,30 @@ def nearest_by_edit(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     found = [equal]
     open_texts = durable(asked.select("q").join(equal, "q", "left_anti"))
     packed = F.struct("t", "pos")
-
-    reach = SEGMENTS - 1
-    on = ["length", "index", "segment"]
-    segments = []
-    for index in range(SEGMENTS):
-        start, size = _segment(F.length("t"), index)
-        segments.append(F.struct(F.length("t").alias("length"), F.lit(index).alias("index"),
-                                 F.substr("t", start + 1, size).alias("segment")))
-    indexed = keys.select("t", "pos", F.explode(F.array(*segments)).alias("k")).select("t", "pos", "k.*")
-    blocks, sizes = _blocks(indexed, on, "t", packed, TEXTS_PER_BLOCK)
-    probes = open_texts.select("q", F.explode(_segment_keys(F.col("q"), reach)).alias("k")).select("q", "k.*")
-    close = durable(_closest(probes, blocks, sizes, on, reach))
-    found.append(close)
-    open_texts = durable(open_texts.join(close, "q", "left_anti"))
-
-    if not keys.isEmpty() and not open_texts.isEmpty():
+    shortest, longest = keys.agg(F.min(F.length("t")), F.max(F.length("t"))).first()
+
+    for reach in REACHES if shortest is not None else ():
+        if open_texts.isEmpty():
+            break
+        on = ["length", "index", "segment"]
+        segments = []
+        for index in range(reach + 1):
+            start, size = _segment(F.length("t"), index, reach + 1)
+            segments.append(F.struct(F.length("t").alias("length"), F.lit(index).alias("index"),
+                                     F.substr("t", start + 1, size).alias("segment")))
+        indexed = keys.select("t", "pos", F.explode(F.array(*segments)).alias("k")).select("t", "pos", "k.*")
+        blocks, sizes = _blocks(indexed, on, "t", packed, TEXTS_PER_BLOCK)
+        probes = open_texts.select("q", F.explode(_segment_keys(F.col("q"), reach, shortest, longest)).alias("k")).select("q", "k.*")
+        close = durable(_closest(durable(probes), blocks, sizes, on, reach))
+        found.append(close)
+        open_texts = durable(open_texts.join(close, "q", "left_anti"))
+
+    if shortest is not None and not open_texts.isEmpty():
         blocks, sizes = _blocks(keys.withColumn("length", F.length("t")), ["length"], "t", packed, TEXTS_PER_BLOCK)
         blocks, sizes = durable(blocks), durable(sizes)
-        reach = 2 * reach
+        reach = 2 * REACHES[-1]
         while not open_texts.isEmpty() and reach < 2 * FARTHEST:
-            own = F.length("q")
-            band = F.sequence(F.greatest(own - reach, F.lit(0)), own + reach)
+            band = _lengths(F.length("q"), reach, shortest, longest)
             probes = open_texts.select("q", F.explode(band).alias("length"))
             close = durable(_closest(probes, blocks, sizes, ["length"], min(reach, FARTHEST - 1)))
             found.append(close)
@@ -130,7 +140,7 @@ def nearest_by_edit(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 
     best = reduce(DataFrame.unionByName, found).select("q", "best.distance", F.col("best.pos").alias(f"nearest_{right_id}"))
     asking = left.select(left_id, low.alias("q"))
-    return skew_join(asking, best, ["q"], [left_id], counts=asked).drop("q")
+    return skew_join(asking, best, ["q"], [left_id], "left", counts=asked).drop("q")
 
 
 # ---- cosine ----
@@ -231,7 +241,7 @@ def _all_blocks(visits: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame
     return visits.join(F.broadcast(sizes), on).withColumn("block", F.explode(blocks)).drop("n_blocks")
 
 
-def _search_few(asking: DataFrame, keys: DataFrame, n_keys: int, approx: bool) -> DataFrame:
+def _search_few(asking: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
     """Every query against each of a handful of blocks."""
     n_blocks = -(-n_keys // KEYS_PER_BLOCK)
     blocks = keys.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(
@@ -263,14 +273,15 @@ def _search_groups(asking: DataFrame, keys: DataFrame, n_keys: int, approx: bool
 
 
 def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: str, vector: str,
-                      approx: bool = False) -> DataFrame:
+                      approx: bool = False, few_blocks: int = FEW_BLOCKS) -> DataFrame:
     """The key of highest cosine per query row; ties go to the lowest key id.
 
     A few blocks of keys are searched as they are. More keys are grouped by their nearest pivot
     and the ring of distance around it: a query first searches one block of its likeliest
     group; the triangle inequality then excludes every group that cannot hold a closer key, and
-    all blocks of the others are searched. `approx` stops after the first block. Equal vectors
-    are searched once.
+    all blocks of the others are searched. Both ways give the same, exact result, whatever
+    `few_blocks` says. `approx` always stops after one block of the likeliest group: it may miss
+    the nearest key, but reports a true similarity. Equal vectors are searched once.
     """
     spark = query.sparkSession
     output = f"nearest_{key_id}"
@@ -287,8 +298,9 @@ def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: s
     best = spark.createDataFrame([], "unit bigint, id bigint, key bigint, sim double")
     if n_keys:
         asking = queries.filter(~is_zero)
-        search = _search_few if n_keys <= FEW_BLOCKS * KEYS_PER_BLOCK else _search_groups
-        best = search(asking, keys.select("id", "vec"), n_keys, approx)
+        found_by_few = not approx and n_keys <= few_blocks * KEYS_PER_BLOCK
+        best = (_search_few(asking, keys.select("id", "vec"), n_keys) if found_by_few
+                else _search_groups(asking, keys.select("id", "vec"), n_keys, approx))
     zero_wins = zero_key.isNotNull() & ((F.col("sim") < 0) | ((F.col("sim") == 0) & (zero_key < F.col("key"))))
     found = best.select(
         F.col("id").alias(query_id), F.when(zero_wins, zero_key).otherwise(F.col("key")).alias(output),

@@ -107,7 +107,7 @@ def project(spark, sf_dir):
     vocab = features.build_vocab(words)
     x = features.count_terms(words, vocab, "doc_id").withColumnRenamed("n", "value")
     y = features.count_terms(features.extract_words(dev, "doc_id", "text", stemmer=None), vocab, "doc_id")
-    scores = features.project(x, train, y.withColumnRenamed("n", "value"), dev, "doc_id", k=10, rounds=3)
+    scores = features.project(x, train, y.withColumnRenamed("n", "value"), dev, "doc_id")
     return scores.select("doc_id", F.size("vec").alias("n_components"), F.round(vec.norm(F.col("vec")), 3).alias("length"))
 
 
@@ -123,7 +123,7 @@ def fit_logistic(spark, sf_dir):
 @query("f7_bow_model")
 def bow_model(spark, sf_dir):
     train, dev = parted(spark, sf_dir)
-    return features.evaluate_bow(train, dev, "doc_id", "text", "author_wrong", use_tfidf=True, k=10, rounds=2)
+    return features.evaluate_bow(train, dev, "doc_id", "text", "author_wrong", use_tfidf=True)
 
 
 @query("j4_lookup_vocab", f"""

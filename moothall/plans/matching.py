@@ -26,6 +26,25 @@ def nearest_by_edit(spark, sf_dir):
     return sim.nearest_by_edit(parts.filter("p_size < 25"), right, "p_partkey", "right_id", "title")
 
 
+FAR_TITLE = "translate(lower(title), 'eoi', '301')"
+
+
+@query("j1_far_by_edit", f"""
+SELECT a AS p_partkey, pos AS nearest_right_id, distance FROM (
+  SELECT l.p_partkey AS a, r.p_partkey AS pos, levenshtein({FAR_TITLE.replace('title', 'l.title')}, lower(r.title)) AS distance,
+         row_number() OVER (PARTITION BY l.p_partkey
+                            ORDER BY levenshtein({FAR_TITLE.replace('title', 'l.title')}, lower(r.title)), r.p_partkey) AS rn
+  FROM ({PART_TITLES}) l, ({PART_TITLES}) r WHERE l.p_size < 25 AND r.p_size >= 25) m
+WHERE rn = 1
+""")
+def far_by_edit(spark, sf_dir):
+    """The same with digits for three vowels, so that the nearest titles are several edits away."""
+    parts = view(spark, sf_dir, PART_TITLES)
+    right = parts.filter("p_size >= 25").withColumnRenamed("p_partkey", "right_id")
+    left = parts.filter("p_size < 25").withColumn("title", F.expr(FAR_TITLE))
+    return sim.nearest_by_edit(left, right, "p_partkey", "right_id", "title")
+
+
 COSINES = """
 SELECT q.vec_id AS vec_id, k.vec_id AS key_id,
        list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS sim, q.label AS label
@@ -46,6 +65,15 @@ def nearest_by_cosine(spark, sf_dir):
     return nearest.withColumn("sim", F.round("sim", 4))
 
 
+@query("j2_grouped", f"SELECT vec_id, nearest_key_id, sim FROM ({NEAREST.format(cosines=COSINES.format(more=''))}) n")
+def nearest_in_groups(spark, sf_dir):
+    """The same search over groups of keys, as for many keys."""
+    vectors = table(spark, sf_dir, "embeddings")
+    keys = vectors.filter("label >= 5").withColumnRenamed("vec_id", "key_id")
+    nearest = sim.nearest_by_cosine(vectors.filter("label < 5"), keys, "vec_id", "key_id", "embedding", few_blocks=0)
+    return nearest.withColumn("sim", F.round("sim", 4))
+
+
 LEFT_TITLE = """CASE label WHEN 0 THEN 'AITA for it' WHEN 1 THEN 'WIBTA if so' WHEN 2 THEN 'AITA if AITA for' ELSE 'Why' END"""
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,42 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes: list[list[str]] = []  # paths given out inside each open scope
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a written intermediate, unique per call."""
-    return f"{shared_folder(spark)}/written/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/written/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the intermediates written inside it at its end.
+
+    What it yields writes a result and reads it from a table that outlives the scope. A result
+    that was not kept so must not be used afterwards.
+    """
+    _scopes.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "kept")
+        _scopes[-1].remove(path)
+        kept.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def durable(df: DataFrame) -> DataFrame:

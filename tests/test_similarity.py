@@ -41,7 +41,6 @@ def test_nearest_by_edit_equals_brute_force(spark, monkeypatch, block):
 @pytest.mark.parametrize("few", [16, 0])
 def test_nearest_by_cosine_equals_brute_force(spark, monkeypatch, few):
     """Both ways to search, with a third of the keys equal and blocks that are small."""
-    monkeypatch.setattr(sim, "FEW_BLOCKS", few)
     monkeypatch.setattr(sim, "KEYS_PER_BLOCK", 16)
     monkeypatch.setattr(sim, "QUERIES_PER_BLOCK", 8)
     rng = np.random.default_rng(few)
@@ -55,12 +54,38 @@ def test_nearest_by_cosine_equals_brute_force(spark, monkeypatch, few):
     def frame(rows, name):
         return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(rows)], f"{name} long, v array<double>")
 
-    found = {r.q: r.nearest_k for r in sim.nearest_by_cosine(frame(asked, "q"), frame(keys, "k"), "q", "k", "v").collect()}
+    found = {r.q: r.nearest_k for r in sim.nearest_by_cosine(frame(asked, "q"), frame(keys, "k"), "q", "k", "v", few_blocks=few).collect()}
     unit = [rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12) for rows in (asked, keys)]
     product = np.round(unit[0] @ unit[1].T, 12)
     assert found == {i: int(row.argmax()) for i, row in enumerate(product)}
 
 
+def test_left_rows_without_a_match_stay(spark):
+    left = spark.createDataFrame([(1, None), (2, "abc"), (3, "")], "lid long, t string")
+    right = spark.createDataFrame([(7, "abd"), (8, None)], "rid long, t string")
+    found = {r.lid: (r.distance, r.nearest_rid) for r in sim.nearest_by_edit(left, right, "lid", "rid", "t").collect()}
+    assert found == {1: (None, None), 2: (1, 7), 3: (3, 7)}
+    alone = sim.nearest_by_edit(left, right.limit(0), "lid", "rid", "t").collect()
+    assert sorted((r.lid, r.distance) for r in alone) == [(1, None), (2, None), (3, None)]
+
+
+def test_approximate_search_means_one_block_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(sim, "KEYS_PER_BLOCK", 64)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 6))
+    keys = centres[rng.integers(0, 8, 400)] + 0.05 * rng.normal(size=(400, 6))
+    asked = centres[rng.integers(0, 8, 100)] + 0.05 * rng.normal(size=(100, 6))
+    frames = [spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(rows)], f"{name} long, v array<double>")
+              for rows, name in ((asked, "q"), (keys, "k"))]
+    unit = [rows / np.linalg.norm(rows, axis=1, keepdims=True) for rows in (asked, keys)]
+    product = unit[0] @ unit[1].T
+    answers = [{r.q: (r.nearest_k, r.sim) for r in sim.nearest_by_cosine(*frames, "q", "k", "v", approx=True, few_blocks=few).collect()}
+               for few in (0, 16)]
+    assert answers[0] == answers[1] and len(answers[0]) == 100
+    assert all(abs(product[q, k] - s) < 1e-9 for q, (k, s) in answers[0].items())
+    assert np.mean([product[q].max() - s < 0.02 for q, (_, s) in answers[0].items()]) >= 0.9
+
+
 def test_nearest_by_cosine_without_keys(spark):
     empty = spark.createDataFrame([], "k long, v array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "q long, v array<double>")
