@@ -196,17 +196,21 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame, doc: str, text: str) -> D
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-                  width: int = WIDTH, action: str = "drop") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
+                  item_text: str = "text", width: int = WIDTH, action: str = "drop", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents, all columns kept, without contaminated ones (`drop`) or without hit words (`cut`).
 
-    A cut takes the bytes from the first to the last word of each run of hit words. The windows
-    must fit in `BROADCAST_BYTES`; beyond that use `find_hits` and an anti-join.
+    A cut takes the bytes from the first to the last word of each run of hit words. If the windows
+    have more than `broadcast_bytes`, documents are dropped by a join on their id (all rows of an id
+    then go together), and a cut is refused.
     """
     windows = durable(benchmark_windows(items, item, item_text, width))
     size = windows.agg(F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item")), F.lit(0))).first()[0]
-    if size > BROADCAST_BYTES:
-        raise ValueError(f"the windows have {size} bytes; use find_hits and an anti-join on the id")
+    if size > broadcast_bytes:
+        if action != "drop":
+            raise ValueError(f"the windows have {size} bytes, more than a cut may broadcast")
+        dirty = _hits_by_join(docs, windows, doc, text).filter("n_hit > 0").select(F.col("doc_id").alias("__dirty")).distinct()
+        return docs.join(dirty, F.col(doc).eqNullSafe(F.col("__dirty")), "left_anti")
     lookup = docs.sparkSession.sparkContext.broadcast((*_table(windows), _by_window(windows)))
     column = docs.columns.index(text)
 

@@ -49,6 +49,8 @@ def test_drop_and_cut(spark):
     bench = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
     dropped = decontaminate.decontaminate(docs, bench, width=3)
     assert dropped.columns == docs.columns and {r.doc_id for r in dropped.collect()} == {2, 3}
+    joined = decontaminate.decontaminate(docs, bench, width=3, broadcast_bytes=0)
+    assert joined.columns == docs.columns and {r.doc_id for r in joined.collect()} == {2, 3}
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, width=3, action="cut").collect()}
     assert cut == {1: "keep this: . and this", 2: "clean", 3: None, 4: ""}
 
