@@ -45,6 +45,7 @@ WIDTH, PERCENT = 3, 90
 COUNT_BITS, COUNT_PARTS = 20, 64
 BLOOM_BITS, BLOOM_HASHES = 26, 4
 PARTS = 64
+HEADS = 8
 
 
 class Shingler(WordHasher):
@@ -187,13 +188,28 @@ def _similar_size(nx: Column, ny: Column, percent: int) -> Column:
     return 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
 
 
+def _apart(x: str, y: str) -> Column:
+    """Sum of the differences of part sizes: no more than the sets differ by."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
+
+
+def _most_apart(nx: Column, ny: Column, percent: int) -> Column:
+    """Members of one of two linked sets alone, at most."""
+    return nx + ny - 2 * _least_overlap(nx, ny, percent)
+
+
+def _coarse(parts: str) -> Column:
+    """Four parts added up; a size beyond 30,000 counts as that, which only narrows differences."""
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS // 4 - 1)), lambda k: F.least(
+        F.lit(30_000), sum((F.get(parts, 4 * k + i) for i in range(1, 4)), F.get(parts, 4 * k)))).cast("array<smallint>")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the length and the suffix filter."""
     sides = [classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parts").alias(f"parts_{k}")) for k in "ab"]
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
     n_a, n_b = F.col("n_a"), F.col("n_b")
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(
-        _similar_size(n_a, n_b, percent) & (apart <= n_a + n_b - 2 * _least_overlap(n_a, n_b, percent))).select("a", "b")
+        _similar_size(n_a, n_b, percent) & (_apart("parts_a", "parts_b") <= _most_apart(n_a, n_b, percent))).select("a", "b")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -238,20 +254,27 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
         "component", F.coalesce("component", "node"))
     sizes = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("holders")).groupBy("token").agg(
         F.max(F.struct("holders", "component")).alias("main"), F.count(F.lit(1)).alias("groups"))
-    held = durable(held.join(sizes.filter("groups > 1").select("token", F.col("main.component").alias("main")), "token"))
+    held = held.join(sizes.filter("groups > 1").select("token", F.col("main.component").alias("main")), "token")
+    heads = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, HEADS).alias("h"))
+    heads = heads.select("node", F.transform("h", lambda e: e["token"]).alias("heads"))
+    held = durable(held.join(classes.select("node", _coarse("parts").alias("coarse")), "node").join(heads, "node"))
     short = F.col("pos") < F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent)) + 1
     held = held.withColumn("short", short)
-    fields = ("node", "n", "pos", "component", "short")
+    fields = ("node", "n", "pos", "component", "short", "coarse", "heads")
     x = held.filter(F.col("component") != F.col("main")).select(
         F.col("token").alias("token_x"), *[F.col(c).alias(f"{c}_x") for c in fields])
     y = held.select("token", (F.col("component") == F.col("main")).alias("in_main_y"), *[F.col(c).alias(f"{c}_y") for c in fields])
     smaller_x = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    # A pair with a common shingle among the first of both is met at that one only; others may be met more than once.
+    first_common = F.get(F.array_intersect("heads_x", "heads_y"), F.lit(0))
     pairs = x.join(y, (F.col("token_x") == F.col("token")) & (F.col("component_x") != F.col("component_y"))
                    & (F.col("in_main_y") | (F.col("node_x") < F.col("node_y")))
                    & _similar_size(F.col("n_x"), F.col("n_y"), percent)
                    & F.when(smaller_x, F.col("short_x")).otherwise(F.col("short_y"))
-                   & (rest >= _least_overlap(F.col("n_x"), F.col("n_y"), percent)))
+                   & (rest >= _least_overlap(F.col("n_x"), F.col("n_y"), percent))
+                   & F.coalesce(first_common == F.col("token"), F.lit(True))
+                   & (_apart("coarse_x", "coarse_y") <= _most_apart(F.col("n_x"), F.col("n_y"), percent)))
     pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     return links.union(_verify(_possible(pairs, classes, percent), docs, width, percent))
 
