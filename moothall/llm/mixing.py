@@ -37,6 +37,7 @@ SHARD_SLOTS = 4096
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 ROUNDS = 12
+SLOTS_PER_TASK = 200_000
 SEED = 20
 
 
@@ -110,7 +111,9 @@ def plan_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     last = F.lit(-(-total // shard_slots)).cast("long")
     lacking = counted.join(got, "place", "left").select(
         last.alias("shard"), "place", "blocks", F.least(F.coalesce("got", F.lit(0)), "slots").alias("first"), F.col("slots").alias("next"))
-    runs = taken.unionByName(lacking).filter("first < next")
+    # A run is a short row that stands for many slots, so runs are dealt out before they are listed.
+    dealt = max(spark.sparkContext.defaultParallelism, total // SLOTS_PER_TASK + 1)
+    runs = taken.unionByName(lacking).filter("first < next").repartition(dealt, "shard", "place")
     each = runs.select("shard", "place", "blocks", F.explode(F.sequence(F.col("first"), F.col("next") - 1)).alias("slot"))
     block = permuted(F.pmod("slot", F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("place"), F.floor(F.col("slot") / F.col("blocks")))
     return each.select("shard", "place", "slot", block.alias("block"))
