@@ -6,7 +6,9 @@ punctuation. For each (language, source) the mean and covariance of the `CORE` s
 smallest determinant are estimated: starting from medians and absolute deviations,
 concentration steps keep the share of vectors nearest by Mahalanobis distance and estimate
 again. A vector is rejected if its distance, with the covariance scaled so that the median distance is that of a
-normal sample, is beyond the quantile `LIMIT_Z`. Shares of short texts vary more,
+normal sample, is beyond the quantile `LIMIT_Z`. The core is the usual (n + p + 1) / 2 of n vectors in p
+dimensions, so that up to almost half of a group may be bad; as half of the vectors estimate a shape coarsely, the
+vectors within the normal quantile `REWEIGHT_Z` of it estimate once more. Shares of short texts vary more,
 so below `FULL_WORDS` words the covariance grows in inverse proportion to the words.
 
 Texts are read once, by built-in functions, into narrow rows. A group is never gathered: medians and
@@ -34,7 +36,8 @@ from moothall.session import durable
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30  # the base rule: words, and percent of repeated words
-CORE, STEPS = 0.75, 5
+CORE, STEPS = 0.5, 5
+REWEIGHT_Z = 1.96
 FLOOR = 0.02  # least deviation of a statistic
 FULL_WORDS = 200
 LIMIT_Z = 6.0
@@ -107,11 +110,11 @@ def _bucket(value: Column) -> Column:
     return F.least(F.greatest(F.floor(value * GRID), F.lit(0)), F.lit(MOST_BUCKET)).cast("int")
 
 
-def _median(histogram: DataFrame, keys: Sequence[str], bucket: str, name: str, share: float = 0.5) -> DataFrame:
-    """The first bucket up to which `share` of each key's rows lie; a key has a bounded number of buckets."""
+def _median(histogram: DataFrame, keys: Sequence[str], bucket: str, name: str, share: float = 0.5, more: float = 0.0) -> DataFrame:
+    """The first bucket up to which `share` of each key's rows and `more` rows lie; a key has a bounded number of buckets."""
     order = W.partitionBy(*keys).orderBy(bucket)
     upto = histogram.select(*keys, bucket, F.sum("n").over(order).alias("upto"), F.sum("n").over(W.partitionBy(*keys)).alias("all"))
-    return upto.filter(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min(bucket).alias(name))
+    return upto.filter(F.col("upto") >= F.least(share * F.col("all") + more, F.col("all"))).groupBy(*keys).agg(F.min(bucket).alias(name))
 
 
 def _units(rows: DataFrame, least: int) -> DataFrame:
@@ -196,16 +199,21 @@ def fit(rows: DataFrame, least: int = LEAST, core: float = CORE, steps: int = ST
     def histogram(estimate: DataFrame) -> DataFrame:
         return durable(distances(estimate).groupBy("unit", "b").agg(F.count(F.lit(1)).alias("n")))
 
-    for _ in range(steps):
-        cut = durable(_median(histogram(estimate), ["unit"], "b", "cut", core))
-        kept = _meet(distances(estimate), cut, ["unit"], spread, few).filter(F.col("b") <= F.col("cut"))
+    def scaled(estimate: DataFrame) -> DataFrame:
+        middle = _median(histogram(estimate), ["unit"], "b", "middle")
+        return middle.select("unit", (F.expm1((F.col("middle") + 0.5) / DISTANCE_GRID) / chi_square(0.0)).alias("scale"))
+
+    for step in range(steps + 1):
+        if step < steps:
+            cut = _median(histogram(estimate), ["unit"], "b", "cut", core, (DIMS + 1) / 2)
+        else:
+            cut = scaled(estimate).select("unit", F.floor(F.log1p(F.col("scale") * chi_square(REWEIGHT_Z)) * DISTANCE_GRID).alias("cut"))
+        kept = _meet(distances(estimate), durable(cut), ["unit"], spread, few).filter(F.col("b") <= F.col("cut"))
         v = [F.get("x", F.lit(i)) for i in range(DIMS)]
         sums = [F.sum(v[i]).alias(f"s{i}") for i in range(DIMS)]
         sums += [F.sum(v[j] * v[i]).alias(f"s{j}_{i}") for i in range(DIMS) for j in range(i + 1)]
         estimate = durable(_factor(kept.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), *sums)))
-    middle = _median(histogram(estimate), ["unit"], "b", "middle")
-    scale = F.expm1((F.col("middle") + 0.5) / DISTANCE_GRID) / chi_square(0.0)
-    return durable(units.join(estimate.join(middle, "unit"), "unit", "left").select("lang", "source", "mean", "factor", scale.alias("scale")))
+    return durable(units.join(estimate.join(scaled(estimate), "unit"), "unit", "left").select("lang", "source", "mean", "factor", "scale"))
 
 
 def _trust(n_words: Column) -> Column:

@@ -60,6 +60,20 @@ def test_outliers_equal_numpy(spark, few):
     assert sum(expected.values()) > 150
 
 
+@pytest.mark.parametrize("few", [outliers.BROADCAST_GROUPS, 0])
+def test_a_source_with_many_marked_texts(spark, few):
+    rng = random.Random(3)
+    rows = []
+    for doc in range(300):
+        words = [rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "erat"]) + rng.choice(["", "s", "en", ",", "."]) for _ in range(rng.randrange(60, 160))]
+        share = rng.uniform(0.2, 0.6) if doc < 120 else 0
+        words = [w + "%" if rng.random() < share else w.capitalize() if rng.random() < 0.12 else w for w in words]
+        rows.append((doc, " ".join(words), "en", "hot"))
+    counted = outliers.with_statistics(table(spark, rows))
+    kept = {r.doc_id for r in outliers.judge(counted, outliers.fit(counted, broadcast_groups=few), broadcast_groups=few).filter("__kept").collect()}
+    assert kept == set(range(120, 300))
+
+
 def test_outliers_of_edge_rows(spark):
     docs = table(spark, EDGES)
     assert outliers.drop_outliers(docs).columns == docs.columns and outliers.drop_outliers(docs).count() == 0
