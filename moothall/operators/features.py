@@ -18,7 +18,7 @@ from pyspark.sql.types import StructField, StructType
 from moothall.functions.stem import stem
 from moothall.operators.metrics import binary_metrics
 from moothall.operators.skew import number_rows, skew_join
-from moothall.session import durable, scratch_path
+from moothall.session import durable, scratch_path, scratch_scope
 
 UNKNOWN = "[UNK]"
 BROADCAST_BYTES = 64 << 20
@@ -37,6 +37,7 @@ aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven h
 mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split())
 C, TOLERANCE, MAX_ITER, COMPONENTS = 0.001, 1e-4, 100_000, 100
+RESIDUAL = 1e-3  # of a component's variance
 # ---- end of fixed values ----
 
 
@@ -167,13 +168,23 @@ def _scores(x: DataFrame, docs: DataFrame, doc: str, basis: DataFrame, mean: Dat
         doc, F.zip_with(F.coalesce("vec", zeros), offset, lambda a, b: a - b).alias("vec"))
 
 
+def _settled(within: np.ndarray, across: np.ndarray, k: int, tolerance: float) -> bool:
+    """Whether the k leading pairs of an orthonormal basis B are eigenpairs of A; `within` is B'AB, `across` B'AAB."""
+    values, vectors = np.linalg.eigh(within)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    missed = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", vectors, across, vectors) - values ** 2, 0.0))
+    return not np.any(missed > np.maximum(tolerance * values, 1e-7 * values[0]))  # the second: rounding
+
+
 def project(fit_on: DataFrame, fit_docs: DataFrame, apply_to: DataFrame, apply_docs: DataFrame, doc: str,
-            k: int = COMPONENTS, rounds: int = 5, extra: int = 8) -> DataFrame:
+            k: int = COMPONENTS, rounds: int | None = None, extra: int | None = None, tolerance: float = RESIDUAL) -> DataFrame:
     """(doc, vec) of k centred principal scores; fit on one table, applied to another.
 
     Subspace iteration over the long form (doc, idx, value > 0): a term's coordinates are a row
     of a table, so neither the vocabulary nor a covariance matrix has to fit in one place. Only
-    matrices of (k + extra) squared numbers reach the driver. Signs are arbitrary.
+    matrices of (k + extra) squared numbers reach the driver; `extra` is k / 2 + 8 by default.
+    It goes on until each of the k pairs of value and axis misses the equation of an eigenvector of
+    the covariance by at most `tolerance` of its value, or for `rounds` if given. Signs are arbitrary.
     """
     x = durable(fit_on.select(doc, "idx", F.col("value").cast("double").alias("value")))
     docs = durable(fit_docs.select(doc).distinct())
@@ -183,18 +194,28 @@ def project(fit_on: DataFrame, fit_docs: DataFrame, apply_to: DataFrame, apply_d
     mean = by_term.select("idx", (F.col("_sum") / n).alias("value"))
     term_counts = by_term.select("idx", "n_rows")
     n_terms, n_docs = by_term.count(), docs.count()
-    width = max(1, min(k + extra, n_terms, n_docs))
+    width = max(1, min(k + (k // 2 + 8 if extra is None else extra), n_terms, n_docs))
     start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: (
         F.pmod(F.xxhash64("idx", j), F.lit(2_000_003)) / 1_000_001.0 - 1.0))
     basis = by_term.select("idx", start.alias("vec"))
-    for _ in range(rounds):
-        scores = _scores(x, docs, doc, basis, mean, term_counts, n_terms, width)
-        turned = durable(_weighted_sum(_with_vectors(x, scores, doc, "idx", by_doc, n_docs, width), "idx"))
-        values, vectors = np.linalg.eigh(_gram(turned, width))
-        scale = np.where(values > values.max() * 1e-12, 1.0 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        basis = durable(_rotate(turned, "idx", vectors * scale))
-    scores = _scores(x, docs, doc, basis, mean, term_counts, n_terms, width)
-    values, vectors = np.linalg.eigh(_gram(scores, width))
+    done = 0
+    while True:
+        with scratch_scope(fit_on.sparkSession) as keep:
+            scores = durable(_scores(x, docs, doc, basis, mean, term_counts, n_terms, width))
+            if done == rounds:
+                within = _gram(scores, width)
+                break
+            turned = durable(_weighted_sum(_with_vectors(x, scores, doc, "idx", by_doc, n_docs, width), "idx"))
+            across = _gram(turned, width)
+            if rounds is None and done:  # the first basis is not orthonormal
+                within = _gram(scores, width)
+                if _settled(within, across, k, tolerance):
+                    break
+            values, vectors = np.linalg.eigh(across)
+            scale = np.where(values > values.max() * 1e-12, 1.0 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+            basis = keep(_rotate(turned, "idx", vectors * scale))
+            done += 1
+    values, vectors = np.linalg.eigh(within)
     best = np.argsort(-values)[: min(k, width)]
     components = durable(_rotate(basis, "idx", vectors[:, best]))
     known = apply_to.select(doc, "idx", F.col("value").cast("double").alias("value"))
@@ -233,7 +254,7 @@ def fit_logistic(df: DataFrame, features: str = "features", label: str = "label"
 
 
 def bow_scores(train: DataFrame, dev: DataFrame, doc: str, text: str, label: str, use_tfidf: bool = False,
-               use_projection: bool = True, k: int = COMPONENTS, stemmer=stem, rounds: int = 5) -> DataFrame:
+               use_projection: bool = True, k: int = COMPONENTS, stemmer=stem, rounds: int | None = None) -> DataFrame:
     """(doc, label, prediction) on dev of the bag-of-words model fitted on train."""
     train_words = durable(extract_words(train, doc, text, stemmer=stemmer))
     vocab = durable(build_vocab(train_words))
