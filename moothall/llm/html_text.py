@@ -10,7 +10,12 @@ lines. So a short paragraph between long ones stays.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments
 are left out by their element, role, or words of their class or id. A header inside an article
-holds the article's title and stays.
+holds the article's title and stays. Words do not count on html, body and main, nor on an article that is
+not inside another one: there they speak of the layout. An element left out by a word alone is a wrapper, and what it
+holds is judged without it, if it holds the page's main element; or, where no other article has text, if it is outside
+articles and the text of its articles is longer than all text outside it (wrappers named after comments or
+lists of other articles count only where nothing else is left). A named element that holds all of the text without
+any article or main stays left out.
 
 Every page is one row and is parsed in one task, in batches, so memory is that of a batch.
 
@@ -50,6 +55,11 @@ cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation n
 outbrain pagination pager popup promo promoted promotion recommendations related replies respond share sharing sidebar
 signup skyscraper social sponsor sponsored subscribe taboola teaser toolbar widget
 """.split())
+#: Those of NAMES whose articles are readers' comments or other pages.
+LISTS = frozenset("""
+comment comments commentlist disqus outbrain popup promo promoted promotion recommendations related replies respond sponsor
+sponsored taboola teaser
+""".split())
 _WORD = re.compile(r"[a-z]+")
 _CLOSES_P = frozenset("""
 address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr
@@ -60,10 +70,11 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 
 
 class Line:
-    __slots__ = ("linked", "parent", "region", "tags", "text")
+    __slots__ = ("article", "linked", "parent", "region", "tags", "text", "wrap")
 
-    def __init__(self, text: str, linked: int, tags: int, parent: int, region: int):
+    def __init__(self, text: str, linked: int, tags: int, parent: int, region: int, wrap: int, article: int):
         self.text, self.linked, self.tags, self.parent, self.region = text, linked, tags, parent, region
+        self.wrap, self.article = wrap, article
 
 
 class PageLines(HTMLParser):
@@ -72,20 +83,23 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, left out, number, region
+        self.stack: list[tuple[str, bool, int, int, int, int]] = []  # tag, left out, number, region, wrap, article
+        self.wraps: dict[int, tuple[int, bool]] = {}  # elements left out by a word: the one around, whether named after a list
+        self.of_main: set[int] = set()  # wraps that hold main
+        self.of_article: set[int] = set()  # wraps, outside articles, that hold an article
         self.count = self.tags = self.links = self.linked = 0
         self.pieces: list[str] = []
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0, 0)
+    def _state(self) -> tuple[bool, int, int, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, 0, 0, 0)
 
     def _break(self):
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, parent, region = self._state()
+            _, parent, region, wrap, article = self._state()
             if self.stack and self.stack[-1][0] == "p" or self.stack and self.stack[-1][0][:1] == "h":
                 parent = self.stack[-2][2] if len(self.stack) > 1 else 0
-            self.lines.append(Line(text, self.linked, self.tags, parent, region))
+            self.lines.append(Line(text, self.linked, self.tags, parent, region, wrap, article))
             self.tags = 0
         self.pieces, self.linked = [], 0
 
@@ -102,19 +116,34 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         self._close_implied(tag)
-        left_out, _, region = self._state()
+        left_out, _, region, wrap, article = self._state()
         self.count += 1
-        named = self._named(attrs)
+        named = self._hidden(attrs)
+        words = set() if tag in ("html", "body", "main") or tag == "article" and not article else self._words(attrs)
+        if words and tag in INLINE:
+            named = True
         if tag in REGIONS and not named and left_out and all(t in ("form", "nav", "header") for t, out, *_ in self.stack if out and t in LEFT_OUT) \
                 and not any(out and t not in LEFT_OUT and t != "header" for t, out, *_ in self._roots()):
             left_out = False  # an article inside an unclosed menu or a form around the whole page
         if tag in LEFT_OUT or named or (tag == "header" and not region):
             left_out = True
-        if tag in REGIONS and not left_out and not region:
-            region = self.count
+        if tag in REGIONS and not left_out:
+            region = region or self.count
+            if not article:
+                self._hold(wrap, self.of_main if tag == "main" else self.of_article)
+        if words and not left_out:
+            self.wraps[self.count] = (wrap, not LISTS.isdisjoint(words))
+            wrap = self.count
+        if tag == "article" and not left_out:
+            article = article or self.count
         if tag == "a":
             self.links += 1
-        self.stack.append((tag, left_out, self.count, region))
+        self.stack.append((tag, left_out, self.count, region, wrap, article))
+
+    def _hold(self, wrap: int, found: set[int]):
+        while wrap and wrap not in found:
+            found.add(wrap)
+            wrap = self.wraps[wrap][0]
 
     def _roots(self):
         """The elements at which leaving out began."""
@@ -144,16 +173,18 @@ class PageLines(HTMLParser):
                     return
 
     @staticmethod
-    def _named(attrs) -> bool:
+    def _words(attrs) -> set[str]:
+        """The words of NAMES in class and id."""
+        return {word for key, value in attrs if value and key in ("class", "id") for word in _WORD.findall(value.lower()) if word in NAMES}
+
+    @staticmethod
+    def _hidden(attrs) -> bool:
         for key, value in attrs:
             if not value:
                 if key == "hidden":
                     return True
                 continue
-            if key in ("class", "id"):
-                if not NAMES.isdisjoint(_WORD.findall(value.lower())):
-                    return True
-            elif key == "role":
+            if key == "role":
                 if value.lower() in ROLES:
                     return True
             elif key == "aria-hidden" and value.lower() == "true":
@@ -186,7 +217,40 @@ class PageLines(HTMLParser):
     def finish(self) -> list[Line]:
         self.close()
         self._break()
-        return self.lines
+        return self._outside()
+
+    def _outside(self) -> list[Line]:
+        """The lines all of whose wraps hold the content; the tags of the others count for the next line."""
+        if not self.wraps:
+            return self.lines
+        lists: set[int] = set()
+        for wrap, (around, of_list) in self.wraps.items():
+            if of_list or around in lists:
+                lists.add(wrap)
+        passed = self._passed(self.of_main)
+        seen = [line for line in self.lines if line.wrap in passed]
+        if not any(line.article for line in seen):
+            more = self._passed(self.of_main | self.of_article - lists)
+            length = sum(len(line.text) - line.linked for line in seen)
+            if sum(len(line.text) - line.linked for line in self.lines if line.article and line.wrap in more) > length:
+                passed = more
+            elif not seen:
+                passed = self._passed(self.of_main | self.of_article)
+        out, tags = [], 0
+        for line in self.lines:
+            line.tags += tags
+            tags = 0 if line.wrap in passed else line.tags
+            if line.wrap in passed:
+                out.append(line)
+        return out
+
+    def _passed(self, wrappers: set[int]) -> set[int]:
+        """Those of `wrappers` that lie in no other wrap, and 0 for none."""
+        passed = {0}
+        for wrap, (around, _) in self.wraps.items():  # outer ones first
+            if wrap in wrappers and around in passed:
+                passed.add(wrap)
+        return passed
 
 
 def smoothed_ratios(lines: list[Line], radius: int = RADIUS, sigma: float = SIGMA) -> list[float]:

@@ -128,6 +128,25 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+ARTICLE = f"<article class='post category-social'><h1>Title</h1><p>{P}</p></article>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<html class='no-ad'><body class='single has-sidebar nav-open'>{ARTICLE}</body></html>",
+    f"<div class='content-sidebar-wrap'><main class='social'><p>Title<p>{P}</main><div class='sidebar'>{P}</div></div>",
+    f"<div class='has-sidebar'><div class='nav-wrap'>{ARTICLE}</div><div class='widget'>{P}</div></div>",
+    f"<main><div class='content-sidebar'>{ARTICLE}<div class='sidebar'>{P}</div></div></main>",
+    f"<main>{ARTICLE}<section class='comments'><article class='comment'><p>{P}{P}</article></section></main>",
+    f"{ARTICLE}<div class='sidebar'><article><p>{P}{P}{P}</article></div>",
+    f"<article><p>Title<p>{P}<article class='comment'><p>{P}</article></article>",
+    f"<div><p>Title<p>{P}</div><div class='related'><article><p>{P}{P}{P}</article></div>",
+    f"<div><p>Title<p>{P}</div><div class='sidebar'><article><p>{P[:60]}</article></div>",
+    f"<div class='comments-open'>{ARTICLE}</div>",
+])
+def test_layout_classes_keep_the_article(html):
+    assert html_text.main_text(html) == f"Title\n\n{P}"
+
+
 def test_long_and_nested_markup():
     assert html_text.main_text("<article>" + "<p>word " * 20_000).count("word") == 20_000
     assert html_text.main_text("<div>" * 5_000 + P) == P
