@@ -44,7 +44,7 @@ class WordHasher:
         """One hash per word: a polynomial of its bytes, mixed."""
         power, inverse = self._powers(len(low) + 1)
         sums = np.zeros(len(low) + 1, np.uint64)
-        np.cumsum(low.astype(np.uint64) * power[:-1], out=sums[1:])
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])  # a NUL byte counts, too
         found = (sums[end] - sums[start]) * inverse[start]
         found ^= found >> np.uint64(31)
         return found * np.uint64(_MIX)

@@ -91,6 +91,12 @@ def test_null_ids_have_no_component(spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in found) == [("5", 2, 5), ("6", 2, 5), ("None", 2, None), ("None", 2, None)]
 
 
+def test_nul_bytes_make_other_words(spark):
+    rows = [(1, "a b c d"), (2, "a b c d\0"), (3, "a\0 b c\0\0 d"), (4, "\0 \0\0 \0 \0\0 \0"), (5, "a b c d\0")]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.group_similar(table(spark, rows), width=2).collect()}
+    assert found == brute.groups(rows, 2)
+
+
 def test_no_pair_table_in_a_large_group(spark, monkeypatch):
     """Near copies of one text are compared with one of them, not with each other."""
     words = [f"w{k}" for k in range(150)]
