@@ -47,11 +47,12 @@ LENGTH = 20
 # ---- fixed values: perfect difference sets by their period ----
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 # ---- end of fixed values ----
-FLUSH = 2_000_000  # places a task combines at a time
-BUCKET_PLACES = 1_500_000
+FLUSH = 1_000_000  # places a task combines at a time
+BUCKET_PLACES = 750_000
 WORD_BYTES = 6  # of a common text, to size buckets
 LAST = (1 << 63) - 1
 ANSWER = "rank bigint, body bigint, places array<int>"
+PACKED = "target bigint, rank binary, body binary, at binary"
 SENT = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("keys", "doc", "at", "rank", "body"))])
 
 
@@ -75,12 +76,13 @@ class Places:
 
     def __init__(self, buckets: int, later: bool):
         self.buckets, self.later = buckets, later
-        self.rank, self.body = [], []
+        self.rank, self.body, self.seen = [], [], set()
         self.parts: list[tuple] = []
         self.size = 0
 
     def add(self, rank: int, body: int, bucket: np.ndarray, key: np.ndarray, at: np.ndarray) -> None:
-        if len(at):
+        if len(at) and (rank, body) not in self.seen:  # repeated rows are one place
+            self.seen.add((rank, body))
             self.parts.append((bucket, key, np.full(len(at), len(self.rank), np.uint32), at.astype(np.uint32)))
             self.rank.append(rank)
             self.body.append(body)
@@ -97,18 +99,13 @@ class Places:
         order = np.lexsort(((doc.astype(np.uint64) << np.uint64(32)) | at, key, bucket))
         bucket, key, doc, at = bucket[order], key[order], doc[order], at[order]
         first = np.append(True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]))
-        if self.later:  # equal places are repeated rows: none of them is a copy of the other
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            same = (rank[doc] == rank[doc[lead]]) & (body[doc] == body[doc[lead]]) & (at == at[lead])
-            known = ~same
-        else:
-            known = ~(first & np.append(first[1:], True))  # met more than once
+        known = ~first if self.later else ~(first & np.append(first[1:], True))  # later ones, or all met more than once
         yield from self._cut(bucket[first], key[first], doc[first], at[first], rank, body, False)
         if known.any():  # answers of this task; they pass through some bucket on their way
             spread = (doc[known] % np.uint32(self.buckets)).astype(np.uint32)
             order = np.argsort(spread, kind="stable")
             yield from self._cut(spread[order], key[known][order], doc[known][order], at[known][order], rank, body, True)
-        self.rank, self.body, self.parts, self.size = [], [], [], 0
+        self.rank, self.body, self.seen, self.parts, self.size = [], [], set(), [], 0
 
     def _cut(self, bucket, key, doc, at, rank, body, known: bool) -> Iterator[pa.RecordBatch]:
         edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
@@ -128,36 +125,58 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.uint32)
 
 
-def _answers(table: pa.Table, key_kind: type, later: bool) -> pa.Table:
-    """(rank, body, places) of one bucket: repeated places, or those that are not the first."""
+def _answers(table: pa.Table, key_kind: type, later: bool, targets: int) -> pa.Table:
+    """The repeated places of one bucket, or those that are not the first, packed by the target that collects their text."""
     parts: dict[bool, list[tuple]] = {True: [], False: []}
     for row in table.select(SENT.names[1:]).to_pylist():
         key = np.frombuffer(row["keys"], key_kind)
         doc = _wide(row["doc"], len(key))
         parts[row["known"]].append((key, np.frombuffer(row["rank"], np.int64)[doc], np.frombuffer(row["body"], np.int64)[doc],
                                     _wide(row["at"], len(key))))
-    rank, body, at = [], [], []
-    for _, r, b, a in parts[True]:
-        rank.append(r), body.append(b), at.append(a)
+    told = [p[1:] for p in parts[True]]
     if parts[False]:
-        key, r, b, a = (np.concatenate(c) for c in zip(*parts[False]))
+        key, rank, body, at = (np.concatenate(c) for c in zip(*parts[False]))
         order = np.argsort(key, kind="stable")
         key = key[order]
         alike = np.append(False, key[1:] == key[:-1])
         shared = alike | np.append(alike[1:], False)
         order, key = order[shared], key[shared]  # of keys met once nothing is left to find out
-        if later:
-            order = order[np.lexsort((a[order], b[order], r[order], key))]
+        if later and len(order):
+            order = order[np.lexsort((at[order], body[order], rank[order], key))]
             first = np.append(True, key[1:] != key[:-1])
-            lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-            order = order[(r[order] != r[lead]) | (b[order] != b[lead]) | (a[order] != a[lead])]
-        rank.append(r[order]), body.append(b[order]), at.append(a[order])
-    rank, body, at = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rank, body, at))
+            lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            order = order[(rank[order] != rank[lead]) | (body[order] != body[lead]) | (at[order] != at[lead])]
+        told.append((rank[order], body[order], at[order]))
+    rank, body, at = (np.concatenate(c) for c in zip(*told))
+    target = ((body ^ rank).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(targets)
+    order = np.argsort(target, kind="stable")
+    target, rank, body, at = target[order].astype(np.int64), rank[order], body[order], at[order]
+    edges = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+    cuts = list(zip(edges.tolist(), [*edges.tolist()[1:], len(target)]))
+    return pa.table([pa.array(target[edges], pa.int64()), *(pa.array([v[a:b].tobytes() for a, b in cuts], pa.binary()) for v in (rank, body, at))],
+                    names=["target", "rank", "body", "at"])
+
+
+def _collected(table: pa.Table, reach: int) -> pa.Table:
+    """(rank, body, places) of the texts of one target; with a reach, the starts from which a place is less than that away."""
+    rank, body, at = (np.concatenate([np.frombuffer(v, kind) for v in table.column(name).to_pylist()])
+                      for name, kind in (("rank", np.int64), ("body", np.int64), ("at", np.uint32)))
     order = np.lexsort((at, body, rank))
-    rank, body, at = rank[order], body[order], at[order]
-    edges = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (body[1:] != body[:-1]))) if len(rank) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(at)), pa.int32()), pa.array(at, pa.int32()))
-    return pa.table({"rank": pa.array(rank[edges]), "body": pa.array(body[edges]), "places": lists})
+    rank, body, at = rank[order], body[order], at[order].astype(np.int64)
+    edges = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (body[1:] != body[:-1])))
+    places = []
+    for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(at)]):
+        found = at[a:b]
+        if reach:
+            found = (found[:, None] - np.arange(reach)).ravel()
+        places.append(np.unique(found[found >= 0]).astype(np.int32))
+    return pa.table({"rank": pa.array(rank[edges]), "body": pa.array(body[edges]), "places": pa.array(places, pa.list_(pa.int32()))})
+
+
+def answered(sent: DataFrame, key_kind: type, later: bool, buckets: int, reach: int = 0) -> DataFrame:
+    """(rank, body, places): what the buckets answer, by text. Buckets and targets hold about as much, however large the data."""
+    told = sent.groupBy("bucket").applyInArrow(lambda t: _answers(t, key_kind, later, buckets), PACKED)
+    return told.groupBy("target").applyInArrow(lambda t: _collected(t, reach), ANSWER)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -182,8 +201,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 yield batch, at + k, words[first[k]:first[k + 1]]
 
 
-def repeated_anchors(read: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(rank, body, places): anchors that occur twice, of texts (rank, body, text)."""
+def candidate_windows(read: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(rank, body, places): starts of windows with a repeated anchor, of texts (rank, body, text)."""
     m = period(length)
     cover, width = COVERS[m], length - m + 1
 
@@ -200,30 +219,7 @@ def repeated_anchors(read: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield from sent.flush()
         yield from sent.flush()
 
-    return read.mapInArrow(run, _sent_schema()).groupBy("bucket").applyInArrow(lambda t: _answers(t, np.uint32, False), ANSWER)
-
-
-def candidate_windows(anchors: DataFrame, length: int) -> DataFrame:
-    """(rank, body, places): starts of windows with a repeated anchor."""
-    m = period(length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts = []
-            for places in batch.column(2):
-                at = places.values.to_numpy()
-                held = np.zeros(int(at.max()) + m + 2, np.int32)
-                held[at + 1] = 1  # how many lie below each position, when summed
-                upto = np.cumsum(held)
-                starts.append(np.flatnonzero(upto[m:] > upto[:-m]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32()))], names=["rank", "body", "places"])
-
-    return _by_text(anchors).mapInArrow(run, ANSWER).filter(F.size("places") > 0)
-
-
-def _by_text(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("rank", "body").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return answered(read.mapInArrow(run, _sent_schema()), np.uint32, False, buckets, reach=m)
 
 
 def later_windows(met: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -240,7 +236,7 @@ def later_windows(met: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield from sent.flush()
         yield from sent.flush()
 
-    return met.mapInArrow(run, _sent_schema()).groupBy("bucket").applyInArrow(lambda t: _answers(t, np.uint64, True), ANSWER)
+    return answered(met.mapInArrow(run, _sent_schema()), np.uint64, True, buckets)
 
 
 def _sent_schema() -> str:
@@ -272,12 +268,11 @@ def find_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     density = len(COVERS[period(length)]) / period(length)
     parallel = spark.sparkContext.defaultParallelism
-    anchors = durable(repeated_anchors(read, length, max(parallel, int(n_bytes / WORD_BYTES * density / BUCKET_PLACES))))
-    windows = durable(candidate_windows(anchors, length))
+    windows = durable(candidate_windows(read, length, max(parallel, int(n_bytes / WORD_BYTES * density / BUCKET_PLACES))))
     places = windows.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     asked = _told_apart(read.withColumnsRenamed({"rank": "__rank", "body": "__body"}), windows, True)
     met = asked.join(windows, (F.col("__rank") == F.col("rank")) & (F.col("__body") == F.col("body"))).select("rank", "body", "text", "places")
-    return durable(_by_text(durable(later_windows(met, length, max(parallel, places // BUCKET_PLACES)))))
+    return durable(later_windows(met, length, max(parallel, places // BUCKET_PLACES)))
 
 
 def drop_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH,
