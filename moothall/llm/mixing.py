@@ -132,7 +132,9 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     held = cut.select("row", "place", "block", (begin - F.col("start")).alias("first_word"),
                       (F.least(F.col("end"), (F.col("block") + 1) * block_words) - begin).alias("n_words"))
-    pieces = plan_slots(sources, block_words, shard_slots, seed).join(held, ["place", "block"])
+    # Both sides are lists taken out of short rows, which the planner takes for small tables: they must not be broadcast.
+    slots = plan_slots(sources, block_words, shard_slots, seed).hint("shuffle_merge")
+    pieces = slots.join(held.hint("shuffle_merge"), ["place", "block"])
     return streams, sources, pieces.select("shard", "place", "slot", "row", "first_word", "n_words")
 
 
