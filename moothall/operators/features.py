@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from moothall.functions.stem import stem
+from moothall.operators import projection
 from moothall.operators.metrics import binary_metrics
 from moothall.operators.skew import number_rows, skew_join
-from moothall.session import durable, scratch_path, scratch_scope
+from moothall.session import durable, scratch_path
 
 UNKNOWN = "[UNK]"
 BROADCAST_BYTES = 64 << 20
@@ -117,109 +115,15 @@ def tfidf(fit_on: DataFrame, apply_to: DataFrame, doc: str, n_docs: DataFrame) -
 
 # ---- projection ----
 
-def _weighted_sum(rows: DataFrame, key: str) -> DataFrame:
-    """Sum of value * vec per key."""
-    total = Summarizer.metrics("sum").summary(array_to_vector("vec"), F.col("value"))
-    return rows.groupBy(key).agg(total.alias("_s")).select(key, vector_to_array("_s.sum").alias("vec"))
-
-
-def _gram(rows: DataFrame, width: int) -> np.ndarray:
-    """vec' vec over all rows: width x width, summed per task and then per line of the matrix."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = np.zeros((width, width))
-        for batch in batches:
-            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            square += flat.T @ flat
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int64()), pa.array(list(square))], names=["line", "vec"])
-
-    lines = rows.select("vec").mapInArrow(partial, "line bigint, vec array<double>").withColumn("value", F.lit(1.0))
-    found = _weighted_sum(lines, "line").orderBy("line").collect()  # width x width numbers
-    return np.array([row.vec for row in found])
-
-
-def _rotate(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    width = matrix.shape[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(flat @ matrix))], names=[key, "vec"])
-
-    return rows.select(key, "vec").mapInArrow(run, f"{key} bigint, vec array<double>")
-
-
-def _with_vectors(x: DataFrame, side: DataFrame, key: str, spread: str, counts: DataFrame, n_rows: int,
-                  width: int) -> DataFrame:
-    """Join the vectors of `side`; they are broadcast if `n_rows` of that width are few bytes."""
-    if n_rows * width * 8 <= BROADCAST_BYTES:
-        return x.join(F.broadcast(side), key)
-    return skew_join(x, side, [key], [spread], counts=counts)
-
-
-def _scores(x: DataFrame, docs: DataFrame, doc: str, basis: DataFrame, mean: DataFrame, counts: DataFrame,
-            n_terms: int, width: int) -> DataFrame:
-    """Centred rows times basis, (doc, vec); documents without any term included."""
-    offset_row = _weighted_sum(basis.join(mean, "idx").withColumn("_one", F.lit(1)), "_one").first()
-    offset = F.array(*[F.lit(float(v)) for v in (offset_row.vec if offset_row else [0.0] * width)])
-    raw = _weighted_sum(_with_vectors(x, basis, "idx", doc, counts, n_terms, width), doc)
-    zeros = F.array_repeat(F.lit(0.0), width)
-    return docs.select(doc).join(raw, doc, "left").select(
-        doc, F.zip_with(F.coalesce("vec", zeros), offset, lambda a, b: a - b).alias("vec"))
-
-
-def _settled(within: np.ndarray, across: np.ndarray, k: int, tolerance: float) -> bool:
-    """Whether the k leading pairs of an orthonormal basis B are eigenpairs of A; `within` is B'AB, `across` B'AAB."""
-    values, vectors = np.linalg.eigh(within)
-    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
-    missed = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", vectors, across, vectors) - values ** 2, 0.0))
-    return not np.any(missed > np.maximum(tolerance * values, 1e-7 * values[0]))  # the second: rounding
-
-
 def project(fit_on: DataFrame, fit_docs: DataFrame, apply_to: DataFrame, apply_docs: DataFrame, doc: str,
-            k: int = COMPONENTS, rounds: int | None = None, extra: int | None = None, tolerance: float = RESIDUAL) -> DataFrame:
+            k: int = COMPONENTS, rounds: int = projection.PASSES, tolerance: float = RESIDUAL) -> DataFrame:
     """(doc, vec) of k centred principal scores; fit on one table, applied to another.
 
-    Subspace iteration over the long form (doc, idx, value > 0): a term's coordinates are a row
-    of a table, so neither the vocabulary nor a covariance matrix has to fit in one place. Only
-    matrices of (k + extra) squared numbers reach the driver; `extra` is k / 2 + 8 by default.
-    It goes on until each of the k pairs of value and axis misses the equation of an eigenvector of
-    the covariance by at most `tolerance` of its value, or for `rounds` if given. Signs are arbitrary.
+    At most `rounds` passes over the fitted table; it ends before if each of the k axes misses the equation of an
+    eigenvector by at most `tolerance` of its value. `projection.fit` tells the residuals. Signs are arbitrary.
     """
-    x = durable(fit_on.select(doc, "idx", F.col("value").cast("double").alias("value")))
-    docs = durable(fit_docs.select(doc).distinct())
-    n = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    by_term = durable(x.groupBy("idx").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("_sum")))
-    by_doc = durable(x.groupBy(doc).agg(F.count(F.lit(1)).alias("n_rows")))
-    mean = by_term.select("idx", (F.col("_sum") / n).alias("value"))
-    term_counts = by_term.select("idx", "n_rows")
-    n_terms, n_docs = by_term.count(), docs.count()
-    width = max(1, min(k + (k // 2 + 8 if extra is None else extra), n_terms, n_docs))
-    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: (
-        F.pmod(F.xxhash64("idx", j), F.lit(2_000_003)) / 1_000_001.0 - 1.0))
-    basis = by_term.select("idx", start.alias("vec"))
-    done = 0
-    while True:
-        with scratch_scope(fit_on.sparkSession) as keep:
-            scores = durable(_scores(x, docs, doc, basis, mean, term_counts, n_terms, width))
-            if done == rounds:
-                within = _gram(scores, width)
-                break
-            turned = durable(_weighted_sum(_with_vectors(x, scores, doc, "idx", by_doc, n_docs, width), "idx"))
-            across = _gram(turned, width)
-            if rounds is None and done:  # the first basis is not orthonormal
-                within = _gram(scores, width)
-                if _settled(within, across, k, tolerance):
-                    break
-            values, vectors = np.linalg.eigh(across)
-            scale = np.where(values > values.max() * 1e-12, 1.0 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-            basis = keep(_rotate(turned, "idx", vectors * scale))
-            done += 1
-    values, vectors = np.linalg.eigh(within)
-    best = np.argsort(-values)[: min(k, width)]
-    components = durable(_rotate(basis, "idx", vectors[:, best]))
-    known = apply_to.select(doc, "idx", F.col("value").cast("double").alias("value"))
-    return _scores(known, apply_docs.select(doc).distinct(), doc, components, mean, term_counts, n_terms, len(best))
+    axes = projection.fit(fit_on, fit_docs, doc, k, tolerance, rounds, BROADCAST_BYTES)
+    return projection.coordinates(axes, apply_to, apply_docs, doc, BROADCAST_BYTES)
 
 
 # ---- linear model ----
@@ -254,7 +158,7 @@ def fit_logistic(df: DataFrame, features: str = "features", label: str = "label"
 
 
 def bow_scores(train: DataFrame, dev: DataFrame, doc: str, text: str, label: str, use_tfidf: bool = False,
-               use_projection: bool = True, k: int = COMPONENTS, stemmer=stem, rounds: int | None = None) -> DataFrame:
+               use_projection: bool = True, k: int = COMPONENTS, stemmer=stem, rounds: int = projection.PASSES) -> DataFrame:
     """(doc, label, prediction) on dev of the bag-of-words model fitted on train."""
     train_words = durable(extract_words(train, doc, text, stemmer=stemmer))
     vocab = durable(build_vocab(train_words))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moothall.functions import text as tx
 from moothall.functions import vectors as vec
-from moothall.operators import features, metrics, prep
+from moothall.operators import features, metrics, prep, projection
 from moothall.plans.draws import SPLIT_SQL, split_exact
 from moothall.plans.fixtures import DUCK_SCORES, LABELLED, SPARK_SCORES
 from moothall.plans.registry import query, table, view
@@ -105,10 +105,12 @@ def project(spark, sf_dir):
     train, dev = parted(spark, sf_dir)
     words = features.extract_words(train, "doc_id", "text", stemmer=None)
     vocab = features.build_vocab(words)
-    x = features.count_terms(words, vocab, "doc_id").withColumnRenamed("n", "value")
+    x = durable(features.count_terms(words, vocab, "doc_id").withColumnRenamed("n", "value"))
     y = features.count_terms(features.extract_words(dev, "doc_id", "text", stemmer=None), vocab, "doc_id")
-    scores = features.project(x, train, y.withColumnRenamed("n", "value"), dev, "doc_id")
-    return scores.select("doc_id", F.size("vec").alias("n_components"), F.round(vec.norm(F.col("vec")), 3).alias("length"))
+    axes = projection.fit(x, train, "doc_id", features.COMPONENTS, features.RESIDUAL, projection.PASSES, features.BROADCAST_BYTES)
+    scores = projection.coordinates(axes, y.withColumnRenamed("n", "value"), dev, "doc_id", features.BROADCAST_BYTES)
+    return scores.select("doc_id", F.size("vec").alias("n_components"), F.round(vec.norm(F.col("vec")), 3).alias("length"),
+                         F.lit(axes.passes).alias("passes"), F.lit(float(axes.residuals.max())).alias("residual"))
 
 
 @query("f6_fit_logistic")
