@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from moothall.functions import vectors as vec
 from moothall.functions.text import mask_phrase, strip
@@ -29,7 +31,8 @@ MIN_COSINE = 0.2
 KAPPA = 5.0
 # ---- end of fixed values ----
 
-FIRST_SURROGATE, SURROGATES = 0xD800, 0x800  # code points that stand for no character
+VARIANT_BYTES = 4 << 20  # of changed texts, in one call of a scorer
+FIRST_ROUND, GROWTH = 4, 4  # candidates of a text that are tried at first, and how fast rounds grow
 
 
 # ---- scorers ----
@@ -46,6 +49,7 @@ def batch_scorer(fn: Callable[[pd.Series], list]) -> Scorer:
         fields = ", ".join(f"`{c}` {t}" for c, t in selected.select(*keys).dtypes)
         return selected.mapInPandas(run, f"{fields}, logits array<double>")
 
+    score.batch = fn  # for jobs that build their texts where they are scored
     return score
 
 
@@ -146,18 +150,33 @@ def first_flip(texts: DataFrame, masked: DataFrame, candidates: DataFrame, score
                text: str, target: int = -1) -> DataFrame:
     """Per text the first candidate that changes the prediction, or nulls.
 
-    A candidate fills every slot of its target. All candidates are scored in one batch; the
-    first is the lowest (phrase, rank). With `target` the prediction must become that class.
+    A candidate fills every slot of its target; candidates are tried in the order (phrase, rank). With `target`
+    the prediction must become that class. Rounds try FIRST_ROUND candidates of each text, then GROWTH times as many as
+    before; a text whose prediction changed leaves, so few candidates behind the first flip are scored, in about
+    log(candidates) batches. The candidates of one text are ordered together (at most targets x cap).
     """
-    clean = scorer(texts, [text_id], text).select(text_id, vec.argmax(F.col("logits")).alias("clean"))
-    keys = [text_id, "phrase", "rank"]
-    tried = masked.join(candidates.select(*keys, "word"), [text_id, "phrase"]).withColumn(
-        "changed", F.replace("masked", F.lit("<mask>"), F.col("word"))).drop("masked")
-    scored = scorer(tried, keys, "changed").join(clean, text_id)
-    flipped = scored.filter(goal(F.col("logits"), F.col("clean"), target))
-    first = flipped.groupBy(text_id).agg(F.min(F.struct("phrase", "rank")).alias("f")).select(text_id, "f.*")
-    won = first.join(tried, keys).select(text_id, "phrase", "word", "changed")
-    return clean.join(won, text_id, "left")
+    clean = durable(scorer(texts, [text_id], text).select(text_id, vec.argmax(F.col("logits")).alias("clean")))
+    order = W.partitionBy(text_id).orderBy("phrase", "rank")
+    numbered = masked.join(candidates.select(text_id, "phrase", "rank", "word"), [text_id, "phrase"])
+    tried = durable(numbered.withColumn("_try", F.row_number().over(order)))
+    last = tried.agg(F.max("_try")).first()[0] or 0
+    changed = F.replace("masked", F.lit("<mask>"), F.col("word"))
+    left, won, low, width = clean.select(text_id), [], 1, FIRST_ROUND
+    while low <= last:
+        asked = tried.filter(F.col("_try").between(low, low + width - 1)).join(left, text_id, "left_semi")
+        texts_asked = asked.select(text_id, "_try", changed.alias("changed"))
+        scored = scorer(texts_asked, [text_id, "_try"], "changed").join(clean, text_id)
+        flipped = scored.filter(goal(F.col("logits"), F.col("clean"), target))
+        won.append(durable(flipped.groupBy(text_id).agg(F.min("_try").alias("_try"))))
+        left = durable(left.join(won[-1], text_id, "left_anti"))
+        low, width = low + width, GROWTH * width
+    if not won:
+        return clean.select(text_id, "clean", *(F.lit(None).cast("string").alias(c) for c in ("phrase", "word", "changed")))
+    firsts = won[0]
+    for more in won[1:]:
+        firsts = firsts.unionByName(more)
+    found = tried.join(firsts, [text_id, "_try"]).select(text_id, "phrase", "word", changed.alias("changed"))
+    return clean.join(found, text_id, "left")
 
 
 def goal(logits: Column, label: Column, target: int = -1) -> Column:
@@ -191,16 +210,48 @@ def leave_one_out(texts: DataFrame, text_id: str, text: str, how: str = "delete"
     return rows.select(text_id, "pos", "word", F.array_join(left, " ").alias("changed"))
 
 
-def word_importance(texts: DataFrame, scorer: Scorer, text_id: str, text: str, how: str = "delete") -> DataFrame:
-    """(text_id, pos, word, drop, rank) by the fall of the predicted class's score."""
+def word_importance(texts: DataFrame, scorer: Scorer, text_id: str, text: str, how: str = "delete", unknown: str = "[UNK]") -> DataFrame:
+    """(text_id, pos, word, drop, rank) by the fall of the predicted class's score.
+
+    With a wrapped batch function the changed texts are built and scored inside the task, a bounded number of
+    bytes at a time: one text moves, not one per word. Other scorers get a table of all changed texts.
+    A null text has no words; an empty one has one empty word.
+    """
+    if hasattr(scorer, "batch"):
+        return _ranked(_drops_in_task(texts, scorer.batch, text_id, text, how, unknown), text_id)
     clean = scorer(texts, [text_id], text).select(text_id, "logits", vec.argmax(F.col("logits")).alias("pred"))
-    variants = leave_one_out(texts, text_id, text, how)
+    variants = leave_one_out(texts, text_id, text, how, unknown)
     scored = scorer(variants, [text_id, "pos"], "changed").withColumnRenamed("logits", "after").join(clean, text_id)
     drop = F.round(F.get("logits", F.col("pred")) - F.get("after", F.col("pred")), 9)
     drops = scored.select(text_id, "pos", drop.alias("drop"))
     return _ranked(variants.select(text_id, "pos", "word").join(drops, [text_id, "pos"]), text_id)
 
 
+def _drops_in_task(texts: DataFrame, fn: Callable[[pd.Series], list], text_id: str, text: str, how: str, unknown: str) -> DataFrame:
+    """(text_id, pos, word, drop) of every word, changed texts held VARIANT_BYTES at a time."""
+    def changed(words: list[str], pos: int) -> str:
+        return " ".join(words[:pos] + ([] if how == "delete" else [unknown]) + words[pos + 1:])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, value in zip(batch[text_id], batch[text]):
+                if value is None:
+                    continue
+                words = value.split(" ")
+                logits = list(list(fn(pd.Series([value])))[0])
+                best = logits.index(max(logits))
+                step = max(1, VARIANT_BYTES // (len(value) + 1))
+                for at in range(0, len(words), step):
+                    places = range(at, min(at + step, len(words)))
+                    after = fn(pd.Series([changed(words, p) for p in places]))
+                    yield pd.DataFrame({text_id: [key] * len(places), "pos": places, "word": [words[p] for p in places],
+                                        "drop": [float(logits[best]) - float(x[best]) for x in after]})
+
+    read = texts.select(text_id, text)
+    out = read.mapInPandas(run, f"`{text_id}` {read.schema[text_id].dataType.simpleString()}, pos int, word string, drop double")
+    return out.withColumn("drop", F.round("drop", 9))
+
+
 def linear_importance(texts: DataFrame, weights: DataFrame, text_id: str, text: str, bias: float = 0.0) -> DataFrame:
     """R9 for a linear scorer: a word's drop is its own weight, so no changed text is built.
 
@@ -221,24 +272,48 @@ def _ranked(drops: DataFrame, text_id: str) -> DataFrame:
 
 # ---- results ----
 
+def id_distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two sequences: one bit per place of `a`, one step per place of `b`."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for k, x in enumerate(a):
+        places.setdefault(x, []).append(k)
+    often = {x: sum(1 << k for k in found) for x, found in places.items() if len(found) > OFTEN}
+    full = (1 << len(a)) - 1
+    top, up, down, distance = 1 << (len(a) - 1), full, 0, len(a)
+    for x in b:  # `up` and `down`: where a column of the table rises and falls
+        equal = often[x] if x in often else sum(1 << k for k in places.get(x, ()))
+        across = (((equal & up) + up) ^ up) | equal
+        rises, falls = (down | ~(across | up)) & full, up & across
+        distance += bool(rises & top) - bool(falls & top)
+        rises, falls, sides = ((rises << 1) | 1) & full, (falls << 1) & full, equal | down
+        up, down = (falls | ~(sides | rises)) & full, rises & sides
+    return distance
+
+
+OFTEN = 8  # places from which the bits of an id are kept ready
+
+
+@F.arrow_udf(LongType())  # an object, as this module is read before there is a session
+def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = zip(a, b)
+    return pa.array([id_distance(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else None for x, y in pairs], pa.int64())
+
+
 def token_error(a: Column, b: Column) -> Column:
     """Word-level edit distance of id arrays over the length of the reference `a`.
 
-    Ids are ranked within the pair and every rank becomes one character, so the built-in edit
-    distance counts ids. An empty reference gives null.
+    Ids are of any kind; a pair of n and m ids takes m steps on n bits. An empty or null reference, or a null
+    `b`, gives null; null ids are equal to each other.
     """
-    seen = F.array_distinct(F.concat(a, b))
-
-    def characters(ids: Column, known: Column) -> Column:
-        def code(value: Column) -> Column:
-            rank = F.array_position(known, value)
-            point = F.when(rank < FIRST_SURROGATE, rank).otherwise(rank + SURROGATES)
-            return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-
-        return F.array_join(F.transform(ids, code), "")
-
-    distance = F.transform(F.array(seen), lambda known: F.levenshtein(characters(a, known), characters(b, known)))[0]
-    return F.when(F.size(a) > 0, distance / F.size(a))
+    return F.when(F.size(a) > 0, _distances(a, b) / F.size(a))
 
 
 def chosen_draws(draws: DataFrame, sample: str, draw: str, logits: str, label: str) -> DataFrame:

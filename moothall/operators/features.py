@@ -162,14 +162,15 @@ def bow_scores(train: DataFrame, dev: DataFrame, doc: str, text: str, label: str
     """(doc, label, prediction) on dev of the bag-of-words model fitted on train."""
     train_words = durable(extract_words(train, doc, text, stemmer=stemmer))
     vocab = durable(build_vocab(train_words))
-    x_train = count_terms(train_words, vocab, doc)
-    x_dev = count_terms(extract_words(dev, doc, text, stemmer=stemmer), vocab, doc)
+    x_train = durable(count_terms(train_words, vocab, doc))
+    x_dev = durable(count_terms(extract_words(dev, doc, text, stemmer=stemmer), vocab, doc))
     if use_tfidf:
         n_docs = train.agg(F.count(F.lit(1)))
         x_train, x_dev = tfidf(x_train, x_train, doc, n_docs), tfidf(x_train, x_dev, doc, n_docs)
     else:
         x_train, x_dev = (x.withColumnRenamed("n", "value") for x in (x_train, x_dev))
-    x_train, x_dev = durable(x_train), durable(x_dev)
+    if use_tfidf:
+        x_train, x_dev = durable(x_train), durable(x_dev)
     if use_projection:
         both = project(x_train, train, x_train.unionByName(x_dev), train.select(doc).union(dev.select(doc)), doc, k, rounds)
         vectors = durable(both.select(doc, array_to_vector("vec").alias("features")))

@@ -287,6 +287,18 @@ def word_importance(spark, sf_dir):
     return audit.word_importance(table(spark, sf_dir, "benchmark"), scorer, "item_id", "text")
 
 
+@query("r9_unknown_importance", """
+SELECT item_id, pos - 1 AS pos, ws[pos] AS word, (len(ws[pos]) - 5)::DOUBLE AS "drop",
+       row_number() OVER (PARTITION BY item_id ORDER BY len(ws[pos]) DESC, pos) AS rank
+FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM (
+  SELECT item_id, string_split(text, ' ') AS ws FROM benchmark) a) b
+""")
+def unknown_importance(spark, sf_dir):
+    """The same model, words replaced by the unknown word and not deleted."""
+    scorer = audit.batch_scorer(lambda texts: [[0.0, float(len(t))] for t in texts])
+    return audit.word_importance(table(spark, sf_dir, "benchmark"), scorer, "item_id", "text", how="unknown")
+
+
 CANDIDATES = """
 SELECT a.vec_id, a.vec_id % 40 + 1 AS n_words, a.label AS n_changed, CASE a.label WHEN 3 THEN 'the' ELSE 'ring' END AS word,
        a.vec_id % 11 = 0 AS edited, a.embedding AS va, b.embedding AS vb

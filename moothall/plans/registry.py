@@ -23,8 +23,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+SPREAD_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table. One of few files and at most SPREAD_BYTES is dealt to all cores, as text work on it would run in one task."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +80,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
             _scopes[-1].extend(kept)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free what finished jobs left in the driver: plans, metrics, broadcasts and their shuffle files."""
+    gc.collect()  # the handles of this process
+    spark._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it from there.
 
