@@ -239,3 +239,19 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF_DIR).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    text = " ".join(f"wort{k}" for k in range(80))
+    rows = [(1, text, "de", "s"), (1, text, "de", "s"), (2, text + " ende", "de", None), (None, text, None, "s"), (None, text, None, "s"),
+            (3, None, "de", "s"), (4, "", "de", "s"), (5, "kurz", None, None)]
+    schema = SCHEMA + ", n_chars long, component_id string, `at` int, node long"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, 2) for r in rows], schema)
+    spark.createDataFrame([(1, "ganz anderes")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text is None) for r in kept) == [("1", False), ("3", True), ("4", False), ("5", False), ("None", False)]
+    assert corpus_pipeline.mixing_weights(spark, docs, str(tmp_path)).count() == len(rows)
+    assert corpus_pipeline.mixing_weights(spark, docs.limit(0), str(tmp_path)).count() == 0
