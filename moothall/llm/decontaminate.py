@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moothall.llm.rolling import WordHasher, chunks
@@ -120,7 +120,7 @@ def find_hits(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     """(doc_id, n_words, n_hit, items): hit words and the sorted ids of the items found, per document."""
     windows = durable(benchmark_windows(items, item, item_text, width))
     if windows.agg(F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item")), F.lit(0))).first()[0] > broadcast_bytes:
-        return _hits_by_join(docs, windows, doc, text)
+        return _hits_by_join(docs, windows, doc, text).drop(*KEY, "words")
     lookup = docs.sparkSession.sparkContext.broadcast((*_table(windows), _by_window(windows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,39 +161,49 @@ def _verified(candidates, window, known) -> tuple[list[tuple[int, int]], list[st
     return hits, sorted(ids)
 
 
+def _row_key(doc: str, text: str) -> list[Column]:
+    """What tells rows apart in a join: the id as text, whether there is one, and a digest of the text."""
+    return [F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("_id"), F.col(doc).isNull().alias("_missing"),
+            F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_digest")]
+
+
+KEY = ["_id", "_missing", "_digest"]
+
+
 def _hits_by_join(docs: DataFrame, windows: DataFrame, doc: str, text: str) -> DataFrame:
-    """The same rows for a test set of any size: candidates meet the windows in a join."""
+    """The same rows for a test set of any size, and the places of hit words: candidates meet the windows in a join."""
     lookup = docs.sparkSession.sparkContext.broadcast(_table(windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*lookup.value)
         for batch in batches:
-            ids, digests = batch.column(0), batch.column(2).to_pylist()
+            ids, keys = batch.column(0), batch.columns[2:]
             for at, texts in chunks(batch.column(1)):
                 sizes, found, window, _, _ = scanner.scan(texts)
                 rows = [(at + k, int(sizes[k]), None, None, None) for k in range(len(texts))]
                 rows += [(at + k, None, start, length, window(k, start, length))
                          for k, hits in enumerate(found) for start, length in hits]
                 place, n, start, length, key = zip(*rows)
+                taken = pa.array(place)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(place)), pa.array([digests[p] for p in place]), pa.array(n, pa.int64()),
+                    [ids.take(taken), *(k.take(taken) for k in keys), pa.array(n, pa.int64()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(key, pa.string())],
-                    names=["doc_id", "digest", "n_words", "at", "length", "window"])
+                    names=["doc_id", *KEY, "n_words", "at", "length", "window"])
 
-    read = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"),
-                       F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    read = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), *_row_key(doc, text))
     kind = read.schema["doc_id"].dataType.simpleString()
     scanned = durable(read.mapInArrow(
-        run, f"doc_id {kind}, digest string, n_words bigint, at bigint, length bigint, window string"))
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("digest").alias("_digest")]
-    candidates = scanned.filter("window IS NOT NULL").select(*key, "at", "length", "window").distinct()
-    hits = candidates.join(windows, "window").groupBy("_id", "_digest").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))))).cast("long").alias("n_hit"),
-        F.sort_array(F.collect_set("item")).alias("items"))
-    rows = scanned.filter("window IS NULL").select("doc_id", "n_words", *key)
-    return rows.join(hits, ["_id", "_digest"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        run, f"doc_id {kind}, _id string, _missing boolean, _digest string, n_words bigint, at bigint, length bigint, window string"))
+    candidates = scanned.filter("window IS NOT NULL").select(*KEY, "at", "length", "window").distinct()
+    # Places are combined one by one, so that a row with many windows is spread; the words of one text come together.
+    found = durable(candidates.join(windows, "window"))
+    words = found.select(*KEY, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("word")).groupBy(*KEY).agg(
+        F.collect_set("word").alias("words"))
+    items = found.groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = scanned.filter("window IS NULL").select("doc_id", "n_words", *KEY)
+    return rows.join(words.join(items, KEY), KEY, "left").select(
+        "doc_id", "n_words", F.coalesce(F.size("words").cast("long"), F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), *KEY, "words")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -201,16 +211,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     """The documents, all columns kept, without contaminated ones (`drop`) or without hit words (`cut`).
 
     A cut takes the bytes from the first to the last word of each run of hit words. If the windows
-    have more than `broadcast_bytes`, documents are dropped by a join on their id (all rows of an id
-    then go together), and a cut is refused.
+    have more than `broadcast_bytes`, rows meet what is known of their id and text in a join, with the same result.
     """
     windows = durable(benchmark_windows(items, item, item_text, width))
     size = windows.agg(F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item")), F.lit(0))).first()[0]
     if size > broadcast_bytes:
-        if action != "drop":
-            raise ValueError(f"the windows have {size} bytes, more than a cut may broadcast")
-        dirty = _hits_by_join(docs, windows, doc, text).filter("n_hit > 0").select(F.col("doc_id").alias("__dirty")).distinct()
-        return docs.join(dirty, F.col(doc).eqNullSafe(F.col("__dirty")), "left_anti")
+        return _without_hits(docs, _hits_by_join(docs, windows, doc, text).filter("n_hit > 0"), doc, text, action)
     lookup = docs.sparkSession.sparkContext.broadcast((*_table(windows), _by_window(windows)))
     column = docs.columns.index(text)
 
@@ -240,6 +246,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _without_hits(docs: DataFrame, dirty: DataFrame, doc: str, text: str, action: str) -> DataFrame:
+    """`decontaminate` from the hits of a join."""
+    hits = dirty.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("words").alias("__words")).dropDuplicates([f"_{c}" for c in KEY])
+    same = [k == F.col(f"_{c}") for c, k in zip(KEY, _row_key(doc, text))]
+    same = same[0] & same[1] & same[2]
+    if action == "drop":
+        return docs.join(hits, same, "left_anti")
+    column, own, schema = docs.columns.index(text), len(docs.columns), docs.schema
+    joined = docs.join(hits, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner([], np.zeros(0, bool))
+        for batch in batches:
+            arrays, texts = list(batch.columns[:own]), batch.column(column).to_pylist()
+            for k, words in enumerate(batch.column(own)):
+                if words.is_valid:
+                    data = texts[k].encode()
+                    _, start, end = scanner.words(np.frombuffer(data, np.uint8))
+                    hit = np.zeros(len(start), bool)
+                    hit[words.values.to_numpy()] = True
+                    texts[k] = _cut(data, hit, start, end)
+            arrays[column] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:own])
+
+    return joined.mapInArrow(run, schema)
+
+
 def _cut(text: bytes, hit: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
     edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     out, at = [], 0

@@ -55,6 +55,20 @@ def test_drop_and_cut(spark):
     assert cut == {1: "keep this: . and this", 2: "clean", 3: None, 4: ""}
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_rows_of_one_id_are_judged_apart_at_any_size(spark, limit):
+    rows = [(1, "One two three and this"), (1, "clean words"), (None, "x one two three"), (None, "other"), (2, None), (3, "one two three"), (3, "one two three")]
+    bench = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
+    docs = table(spark, rows)
+    dropped = decontaminate.decontaminate(docs, bench, width=3, broadcast_bytes=limit)
+    assert dropped.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in dropped.collect()) == [("1", "clean words"), ("2", "None"), ("None", "other")]
+    cut = decontaminate.decontaminate(docs, bench, width=3, action="cut", broadcast_bytes=limit)
+    assert cut.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in cut.collect()) == [
+        ("1", " and this"), ("1", "clean words"), ("2", "None"), ("3", ""), ("3", ""), ("None", "other"), ("None", "x ")]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
