@@ -4,7 +4,9 @@ Labelled page outcomes (1 for a bad page) are added up per host, registered doma
 suffix. Each level has a beta-binomial prior around its parent's posterior mean, whose strength
 comes from the spread of that level's rates (method of moments); so a host with few labels is
 shrunk to its domain, a domain to its suffix and a suffix to all pages. A host is blocked if the
-lower posterior bound of its bad rate, mean - z * sd, is above a limit.
+lower posterior bound of its bad rate, mean - z * sd, is above a limit that follows the data: TIMES_BASE times the
+bad rate of all labelled pages, MOST_BAD at most. Where hosts do not differ beyond chance, priors are strong and none is blocked.
+Public suffixes of two labels are a parameter, with a short list as default.
 
 Everything is expressions, aggregates and equality joins. Rows are narrow; the counts of a host
 with a third of all pages are combined before the shuffle, and verdicts come back by a join that
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from moothall.session import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-Z, MOST_BAD = 1.645, 0.5
+Z, MOST_BAD, TIMES_BASE = 1.645, 0.5, 2.0
 WEAKEST, STRONGEST = 1.0, 1000.0  # of a prior, in labels
 #: Public suffixes of two labels; every other suffix is the last label.
 TWO_LABELS = tuple("""
@@ -66,13 +68,13 @@ def first_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
                         for r in longest_first], F.lit(None).cast("struct<place:string,verdict:string>"))
 
 
-def name_levels(host: Column) -> tuple[Column, Column, Column]:
+def name_levels(host: Column, two_labels: Sequence[str] = TWO_LABELS) -> tuple[Column, Column, Column]:
     """(name, registered domain, public suffix) of a host."""
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.$", "")
     labels = F.split(name, r"\.")
     is_address = name.rlike(r"^[0-9.]+$|^\[|:")
     last_two = F.substring_index(name, ".", -2)
-    long_suffix = last_two.isin(*TWO_LABELS)
+    long_suffix = last_two.isin(*two_labels)
     suffix = F.when(is_address, "ip").when(long_suffix, last_two).otherwise(F.substring_index(name, ".", -1))
     domain = F.when(is_address | (F.size(labels) <= 2), name).when(long_suffix, F.substring_index(name, ".", -3)).otherwise(last_two)
     return name, domain, suffix
@@ -93,16 +95,17 @@ def _strength(nodes: DataFrame) -> float:
     return 1 / r - 1
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, page: str, url: str, outcome_page: str, bad: str) -> DataFrame:
-    """(name, n, x, alpha, beta): every host name of `pages` with its labels and posterior."""
+def reputation(pages: DataFrame, outcomes: DataFrame, page: str, url: str, outcome_page: str, bad: str,
+               two_labels: Sequence[str] = TWO_LABELS) -> DataFrame:
+    """(name, n, x, alpha, beta, base): every host name of `pages` with its labels and posterior, and the rate of all pages."""
     host, _ = host_and_path(F.col(url))
-    named = pages.select(F.col(page).alias("page"), *[c.alias(a) for c, a in zip(name_levels(host), ("name", "domain", "suffix"))])
+    named = pages.select(F.col(page).alias("page"), *[c.alias(a) for c, a in zip(name_levels(host, two_labels), ("name", "domain", "suffix"))])
     labelled = outcomes.select(F.col(outcome_page).alias("page"), F.col(bad).cast("long").alias("bad")).dropna().groupBy(
         "page").agg(F.max("bad").alias("bad"))
     hosts = durable(named.join(labelled, "page", "left").groupBy("name", "domain", "suffix").agg(
         F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
-    level, mean = hosts, F.lit(((total.x or 0) + 0.5) / ((total.n or 0) + 1.0))
+    mean = base = F.lit(((total.x or 0) + 0.5) / ((total.n or 0) + 1.0))
     means = None
     for key in ("suffix", "domain"):
         parent = ["suffix"] if key == "domain" else []
@@ -115,7 +118,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, page: str, url: str, outco
     level = durable(hosts.join(means, ["suffix", "domain"]))
     strength = _strength(level)
     return level.select("name", "n", "x", (F.col("x") + strength * F.col("mean")).alias("alpha"),
-                        (F.col("n") - F.col("x") + strength * (1 - F.col("mean"))).alias("beta"))
+                        (F.col("n") - F.col("x") + strength * (1 - F.col("mean"))).alias("beta"), base.alias("base"))
 
 
 def lower_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
@@ -125,10 +128,12 @@ def lower_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, page: str = "page_id", url: str = "url", outcome_page: str = "page_id",
-          bad: str = "bad", rules: Sequence[Rule] = RULES, z: float = Z, most_bad: float = MOST_BAD) -> DataFrame:
+          bad: str = "bad", rules: Sequence[Rule] = RULES, z: float = Z, most_bad: float = MOST_BAD,
+          times_base: float = TIMES_BASE, two_labels: Sequence[str] = TWO_LABELS) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_labels, n_bad) per row of `pages`."""
-    known = reputation(pages, outcomes, page, url, outcome_page, bad).select(
-        "name", "n", "x", F.when(lower_bound(F.col("alpha"), F.col("beta"), z) > most_bad, "block").otherwise("allow").alias("by_host"))
+    limit = F.least(F.lit(most_bad), times_base * F.col("base"))
+    known = reputation(pages, outcomes, page, url, outcome_page, bad, two_labels).select(
+        "name", "n", "x", F.when(lower_bound(F.col("alpha"), F.col("beta"), z) > limit, "block").otherwise("allow").alias("by_host"))
     host, path = host_and_path(F.col(url))
     split = pages.select(F.col(page).alias("page_id"), host.alias("host"), path.alias("path"))
     ruled = split.withColumn("name", name_levels(F.col("host"))[0]).withColumn(
@@ -187,8 +192,9 @@ dd AS (SELECT suffix, domain, (x + k * mean) / (n + k) AS mean FROM dm, kd),
 hm AS (SELECT name, n, x, mean FROM h JOIN dd ON h.suffix = dd.suffix AND h.domain = dd.domain),
 kh AS {strength('hm')},
 ab AS (SELECT name, n, x, x + k * mean AS al, n - x + k * (1 - mean) AS be FROM hm, kh),
-v AS (SELECT name, n, x, CASE WHEN al / (al + be) - CAST({Z} AS DOUBLE) * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1))) > {MOST_BAD}
-                   THEN 'block' ELSE 'allow' END AS by_host FROM ab),
+v AS (SELECT name, n, x, CASE WHEN al / (al + be) - CAST({Z} AS DOUBLE) * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1)))
+                                > least(CAST({MOST_BAD} AS DOUBLE), CAST({TIMES_BASE} AS DOUBLE) * m0.mean)
+                   THEN 'block' ELSE 'allow' END AS by_host FROM ab, m0),
 r AS (SELECT p.page_id, host, path, {rule} AS rule, by_host, n, x FROM p JOIN v ON p.name = v.name)
 SELECT page_id, host, path, rule, coalesce({verdict}, by_host) AS verdict, CAST(n AS BIGINT) AS n_labels, CAST(x AS BIGINT) AS n_bad FROM r
 """

@@ -156,3 +156,25 @@ def test_pages_keep_their_rows(spark):
     made = spark.createDataFrame([(1, "u", f"<p>{P}"), (1, "u", f"<p>{P}"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted(map(repr, ((r.page_id, r.url, r.text) for r in html_text.extract_text(made).collect()))) == sorted(map(repr, [(1, "u", P), (1, "u", P), (None, None, "")]))
     assert html_text.extract_text(made.limit(0)).count() == 0
+
+
+def test_the_limit_follows_the_base_rate(spark):
+    """5 % of all pages are bad; a host with 30 % stands out, though it is far from half bad, a rare one of a good domain does not,
+    and one that shares the domain of the bad one is judged by it."""
+    rows, bad = [], []
+    for host, n, n_bad in [*((f"h{k}.example.com", 50, 1 + k % 3) for k in range(40)), ("spam.example.net", 100, 30), ("rare.example.com", 2, 1), ("new.example.net", 2, 1)]:
+        for k in range(n):
+            bad.append((len(rows), int(k < n_bad)))
+            rows.append((len(rows), f"http://{host}/{k}", ""))
+    given = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labelled = spark.createDataFrame(bad, "page_id long, bad int")
+    judged = url_reputation.judge(given, labelled, rules=[url_reputation.Rule("allow", "x/")])
+    assert {r.host for r in judged.filter("verdict = 'block'").collect()} == {"spam.example.net", "new.example.net"}
+    strict = url_reputation.judge(given, labelled, rules=[url_reputation.Rule("allow", "x/")], times_base=100.0)
+    assert strict.filter("verdict = 'block'").count() == 0  # half bad at least
+
+
+def test_suffixes_are_a_parameter(spark):
+    name = spark.createDataFrame([("a.shop.com.sg",)], "h string").select(
+        *url_reputation.name_levels(F.col("h")), *url_reputation.name_levels(F.col("h"), ("com.sg",))).first()
+    assert tuple(name)[1:3] == ("com.sg", "sg") and tuple(name)[4:6] == ("shop.com.sg", "com.sg")
