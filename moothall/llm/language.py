@@ -7,43 +7,49 @@ forward algorithm: a word's probability is the sum over all its segmentations, a
 product over its words, and the answer is the language with the largest one, with its
 posterior under equal priors.
 
-Words are runs of letters; a word's score does not depend on its text, so a task scores each
-distinct word of a batch once, whole groups of equal length at a time, and keeps a bounded table of words met.
+Words are runs of letters and the marks on them, of any length; the forward pass is kept in logarithms and needs only the
+last columns, as many as the longest piece has characters. A word's score does not depend on its text, so a task scores each
+distinct word of a batch once, whole groups of equal length at a time, and keeps a table of words met, of bounded size.
 
 The model is fitted on at most about `docs_per_lang` labelled documents of each language, drawn by hash
-of the id; prediction reads every text whole. The model has pieces x languages numbers, whatever the input;
-`MOST_LANGUAGES` bounds it.
+of the id; prediction reads every text whole. Any number of languages is fitted and scored, `LANGUAGES_AT_ONCE` to a task:
+the driver holds pieces x languages numbers, a task those of one part of the languages, and each row carries its best
+language so far from part to part.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is everything if
 there are no labelled documents; a character outside the vocabulary costs every language the
-same; words are scored in stretches of `LONGEST` characters; ties go to the first language by code
-point; repeated rows give repeated rows. Only the named columns are read.
+same; ties go to the first language by code point; repeated rows give repeated rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moothall.session import durable
 
 DOCS_PER_LANG = 2000
-MOST_LANGUAGES = 512
+LANGUAGES_AT_ONCE = 64
 ROUNDS = 3
-LONGEST = 32
 UNKNOWN = 1e-7  # probability of a character outside the vocabulary
 SMOOTHING = 0.1  # uses added to every piece
-KEPT_WORDS = 400_000  # a task's table of scored words is emptied beyond this size
+KEPT_SCORES = 1_600_000  # a task's table of scored words is emptied beyond this many scores
+KEPT_LETTERS = 16_000_000  # or this many letters
 BATCH_WORDS = 20_000
+BATCH_SCORES = 160_000  # words x languages of one array step
+BATCH_LETTERS = 2_000_000  # of the words of one group, if these are more than one
 UNDETERMINED = "und"
 START = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+PLAIN_LETTERS = re.compile("[a-z]+")
 
 
 def load_pieces(path: str) -> list[str]:
@@ -53,21 +59,14 @@ def load_pieces(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     special = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not any(f(i) for f in special)}
-    return sorted(p for p in pieces if p and (p == START or p.removeprefix(START).isalpha()))
+    return sorted(p for p in pieces if p == START or LETTERS.fullmatch(p.removeprefix(START)))
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case, cut to stretches the model scores at once."""
-    words = LETTERS.findall(text.lower()) if text else []
-    out = []
-    for word in words:
-        if not word.isalpha():
-            word = "".join(filter(str.isalpha, word))
-        if len(word) > LONGEST:
-            out += [word[i:i + LONGEST] for i in range(0, len(word), LONGEST)]
-        elif word:
-            out.append(word)
-    return out
+    """Runs of letters in lower case."""
+    if not text:
+        return []
+    return (PLAIN_LETTERS if text.isascii() else LETTERS).findall(text.lower())
 
 
 class Lattice:
@@ -79,54 +78,71 @@ class Lattice:
         self.unknown = len(pieces)  # one more row, for characters outside the vocabulary
         self.none = len(pieces) + 1  # and one of zeros
         languages = probabilities.shape[1]
-        self.p = np.vstack([probabilities, np.full((1, languages), UNKNOWN), np.zeros((1, languages))])
-
-    def _edges(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece numbers by (from, to) for words of one length, only where some word has a piece."""
-        get, none, edges = self.ids.get, self.none, {}
-        n = len(words[0])
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.widest) + 1):
-                fallback = self.unknown if j == i + 1 else none
-                ids = np.array([get(w[i:j], fallback) for w in words])
-                if j == i + 1 or (ids != none).any():
-                    edges[i, j] = ids
-        return edges
-
-    def _groups(self, words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        p = np.vstack([probabilities, np.full((1, languages), UNKNOWN), np.zeros((1, languages))])
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(p)
+
+    def _ending_at(self, words: list[str], end: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, piece numbers) of the pieces that end there in words of one length, where some word has one."""
+        return self._edges(words, end, range(max(0, end - self.widest), end), lambda at: (at, end))
+
+    def _starting_at(self, words: list[str], start: int) -> Iterator[tuple[int, np.ndarray]]:
+        return self._edges(words, start, range(start + 1, min(len(words[0]), start + self.widest) + 1), lambda at: (start, at))
+
+    def _edges(self, words, place, others, ends) -> Iterator[tuple[int, np.ndarray]]:
+        get, none = self.ids.get, self.none
+        for other in others:
+            i, j = ends(other)
+            fallback = self.unknown if j == i + 1 else none
+            ids = [get(w[i:j], fallback) for w in words]
+            if ids.count(none) < len(ids):
+                yield other, np.array(ids)
+
+    def _groups(self, words: list[str], languages: int) -> Iterator[tuple[list[int], list[str]]]:
         by_length: dict[int, list[int]] = {}
         for k, word in enumerate(words):
             by_length.setdefault(len(word), []).append(k)
-        for places in by_length.values():
-            for at in range(0, len(places), BATCH_WORDS):
-                part = places[at:at + BATCH_WORDS]
+        size = max(1, BATCH_SCORES // max(1, languages))
+        for length, places in by_length.items():
+            step = max(1, min(size, BATCH_LETTERS // (length + 1)))
+            for at in range(0, len(places), step):
+                part = places[at:at + step]
                 yield part, [START + words[k] for k in part]
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """The forward algorithm: ln of the summed probability of each word (rows) in each language."""
-        out = np.zeros((len(words), self.p.shape[1]))
-        for places, group in self._groups(words):
-            forward = [np.ones((len(group), self.p.shape[1]))] + [0.0] * len(group[0])
-            for (i, j), ids in sorted(self._edges(group).items()):
-                forward[j] = forward[j] + forward[i] * self.p[ids]
-            out[places] = np.log(forward[-1])
+        out = np.zeros((len(words), self.log_p.shape[1]))
+        for places, group in self._groups(words, self.log_p.shape[1]):
+            columns = {0: np.zeros((len(group), self.log_p.shape[1]))}
+            for end in range(1, len(group[0]) + 1):
+                total = np.full(columns[end - 1].shape, -np.inf)
+                for start, ids in self._ending_at(group, end):
+                    np.logaddexp(total, columns[start] + self.log_p[ids], out=total)
+                columns[end] = total
+                columns.pop(end - self.widest, None)
+            out[places] = columns[len(group[0])]
         return out
 
     def expected_uses(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
         """Uses of each piece over all segmentations, weighed by probability and count."""
-        p = self.p[:, language]
-        uses = np.zeros(len(p))
-        for places, group in self._groups(words):
-            edges = sorted(self._edges(group).items())
+        log_p = self.log_p[:, language]
+        uses = np.zeros(len(log_p))
+        for places, group in self._groups(words, 1):
             n, weight = len(group[0]), counts[places]
-            forward = [np.ones(len(group))] + [np.zeros(len(group)) for _ in range(n)]
-            backward = [np.zeros(len(group)) for _ in range(n)] + [np.ones(len(group))]
-            for (i, j), ids in edges:
-                forward[j] += forward[i] * p[ids]
-            for (i, j), ids in reversed(edges):
-                backward[i] += backward[j] * p[ids]
-            for (i, j), ids in edges:
-                uses += np.bincount(ids, forward[i] * p[ids] * backward[j] / forward[n] * weight, minlength=len(p))
+            forward = np.full((n + 1, len(group)), -np.inf)
+            forward[0] = 0.0
+            for end in range(1, n + 1):
+                for start, ids in self._ending_at(group, end):
+                    np.logaddexp(forward[end], forward[start] + log_p[ids], out=forward[end])
+            columns = {n: np.zeros(len(group))}  # backward, from the last character
+            for start in range(n - 1, -1, -1):
+                total = np.full(len(group), -np.inf)
+                for end, ids in self._starting_at(group, start):
+                    behind = log_p[ids] + columns[end]
+                    np.logaddexp(total, behind, out=total)
+                    uses += np.bincount(ids, np.exp(forward[start] + behind - forward[n]) * weight, minlength=len(log_p))
+                columns[start] = total
+                columns.pop(start + self.widest, None)
         return uses[:-2]
 
 
@@ -135,14 +151,13 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
     """(languages, probabilities of pieces x languages) from labelled rows."""
     rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; raise MOST_LANGUAGES if the driver has room for the model")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not sizes:
         return [], np.zeros((len(pieces), 0))
-    languages = sorted(sizes)
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, docs_per_lang / n))) for name, n in sizes.items()])
-    drawn = F.pmod(F.xxhash64(F.coalesce("key", F.lit(""))), F.lit(1 << 30)) < share * (1 << 30)
+    languages = sorted(r.lang for r in sizes)
+    shares = rows.sparkSession.createDataFrame([(r.lang, min(1.0, docs_per_lang / r.n)) for r in sizes], "lang string, share double")
+    rows = rows.join(shares, "lang")
+    drawn = F.pmod(F.xxhash64(F.coalesce("key", F.lit(""))), F.lit(1 << 30)) < F.col("share") * (1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,10 +171,17 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
 
     words = durable(rows.filter(drawn).select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy(
         "lang", "word").agg(F.sum("n").alias("n")))
-    probabilities = np.full((len(pieces), len(languages)), 1.0 / max(1, len(pieces)))
-    for _ in range(rounds):
-        probabilities = _maximise(words, pieces, languages, probabilities)
-    return languages, probabilities
+    fitted = []
+    for part in _parts(languages):  # languages do not depend on each other
+        probabilities = np.full((len(pieces), len(part)), 1.0 / max(1, len(pieces)))
+        for _ in range(rounds):
+            probabilities = _maximise(words.filter(F.col("lang").between(part[0], part[-1])), pieces, part, probabilities)
+        fitted.append(probabilities)
+    return languages, np.hstack(fitted)
+
+
+def _parts(languages: list[str]) -> list[list[str]]:
+    return [languages[at:at + LANGUAGES_AT_ONCE] for at in range(0, len(languages), LANGUAGES_AT_ONCE)]
 
 
 def _maximise(words: DataFrame, pieces: list[str], languages: list[str], probabilities: np.ndarray) -> np.ndarray:
@@ -194,31 +216,43 @@ def _maximise(words: DataFrame, pieces: list[str], languages: list[str], probabi
 def predict(docs: DataFrame, pieces: list[str], languages: list[str], probabilities: np.ndarray, doc: str = "doc_id",
             text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) per row."""
-    model = docs.sparkSession.sparkContext.broadcast((pieces, languages, probabilities))
+    best = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.lit(UNDETERMINED).alias("lang_pred"),
+                       F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("rest"))
+    parts, at = _parts(languages), 0
+    for k, part in enumerate(parts):
+        best = _best_of(best, pieces, part, probabilities[:, at:at + len(part)], last=k == len(parts) - 1)
+        at += len(part)
+    return best.select("doc_id", "lang_pred", F.when(F.col("rest") > 0, 1 / F.col("rest")).otherwise(0.0).alias("score"))
+
+
+def _best_of(rows: DataFrame, pieces: list[str], languages: list[str], probabilities: np.ndarray, last: bool) -> DataFrame:
+    """The best language so far, its log-probability and the sum of all probabilities over its own, with these languages."""
+    model = rows.sparkSession.sparkContext.broadcast((pieces, languages, probabilities))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, languages, probabilities = model.value
         lattice = Lattice(pieces, probabilities)
         place: dict[str, int] = {}
-        known = np.zeros((0, len(languages)))
+        known, letters = np.zeros((0, len(languages))), 0
 
-        def predict_some(counts: list[Counter]) -> Iterator[tuple[str, float]]:
-            nonlocal known
-            if len(place) > KEPT_WORDS:
+        def best_of_some(counts: list[Counter]) -> Iterator[tuple[str, float, float] | None]:
+            nonlocal known, letters
+            if known.size > KEPT_SCORES or letters > KEPT_LETTERS:
                 place.clear()
-                known = np.zeros((0, len(languages)))
+                known, letters = np.zeros((0, len(languages))), 0
             new = sorted({word for found in counts for word in found if word not in place})
             if new:
                 place.update(zip(new, range(len(known), len(known) + len(new))))
                 known = np.vstack([known, lattice.log_probabilities(new)])
+                letters += sum(map(len, new))
             for found in counts:
-                if not found or not languages:
-                    yield UNDETERMINED, 0.0
+                if not found:
+                    yield None
                     continue
                 places = np.fromiter((place[w] for w in found), np.int64, len(found))
                 total = np.fromiter(found.values(), np.float64, len(found)) @ known[places]
                 best = int(total.argmax())
-                yield languages[best], float(1.0 / np.exp(total - total[best]).sum())
+                yield languages[best], float(total[best]), float(np.exp(total - total[best]).sum())
 
         for batch in batches:
             answers, held, size = [], [], 0
@@ -226,15 +260,28 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], probabilit
                 held.append(Counter(words_of(value.as_py())))
                 size += len(held[-1])
                 if size >= BATCH_WORDS:
-                    answers += predict_some(held)
+                    answers += best_of_some(held)
                     held, size = [], 0
-            answers += predict_some(held)
-            names, scores = zip(*answers) if answers else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
-
-    read = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+            answers += best_of_some(held)
+            before = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+            names, tops, rests = zip(*map(_merged, before, answers)) if answers else ((), (), ())
+            texts = pa.nulls(batch.num_rows, batch.column(1).type) if last else batch.column(1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), texts, pa.array(names, pa.string()), pa.array(tops, pa.float64()), pa.array(rests, pa.float64())],
+                names=["doc_id", "text", "lang_pred", "top", "rest"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+
+
+def _merged(before: tuple[str, float, float], found: tuple[str, float, float] | None) -> tuple[str, float, float]:
+    """The better of two (language, log-probability, sum over it), the sums added; the first one if they are equal."""
+    if found is None:
+        return before
+    (_, top, rest), (_, other, more) = before, found
+    if other > top:
+        return found[0], other, more + rest * math.exp(top - other)
+    return before[0], top, rest + more * math.exp(other - top)
 
 
 def is_held_out(doc: Column) -> Column:

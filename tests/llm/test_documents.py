@@ -161,6 +161,53 @@ def test_forward_sums_all_segmentations():
             assert np.allclose(lattice.expected_uses([word], np.array([3]), lang), 3 * uses / total)
 
 
+def test_words_of_any_length():
+    pieces = ["a", "ab", "b", "ba", "bab", "▁", "▁a", "▁ab"]
+    p = np.random.default_rng(2).dirichlet(np.ones(len(pieces)), 2).T
+    lattice = language.Lattice(pieces, p)
+    at = {piece: k for k, piece in enumerate(pieces)}
+    word = "".join(np.random.default_rng(3).choice(list("abx"), 5000))
+    found = lattice.log_probabilities([word, "ab", word[:-1] + "a"])
+    text = "▁" + word
+    for lang in range(2):  # a plain pass, one character after the other
+        logs = [0.0]
+        for j in range(1, len(text) + 1):
+            ways = []
+            for i in range(max(0, j - 4), j):
+                piece = text[i:j]
+                chance = p[at[piece], lang] if piece in at else language.UNKNOWN if j == i + 1 else 0.0
+                if chance:
+                    ways.append(logs[i] + math.log(chance))
+            top = max(ways)
+            logs.append(top + math.log(math.fsum(math.exp(w - top) for w in ways)))
+        assert abs(found[0, lang] - logs[-1]) < 1e-6
+        uses = lattice.expected_uses([word], np.array([1]), lang)
+        covered = sum(n * len(piece) for n, piece in zip(uses, pieces))
+        assert abs(covered + text.count("x") - len(text)) < 1e-4  # every character is in one piece of each segmentation
+    assert language.words_of("ab" * 4000) == ["ab" * 4000]
+    assert language.words_of("हिन्दी में लिखा") == ["हिन्दी", "में", "लिखा"]
+
+
+def test_many_languages(spark):
+    rng = np.random.default_rng(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pieces = sorted([*letters, "▁", *("".join(rng.choice(list(letters), 3)) for _ in range(800))])
+    words = {f"l{k:03d}": [pieces[i] + pieces[j] for i, j in rng.integers(0, len(pieces), (8, 2))] for k in range(600)}
+    words = {name: [w.replace("▁", "q") for w in found] for name, found in words.items()}
+    rows = [(k, " ".join(rng.choice(found, 60)), name, "s") for k, (name, found) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows + [(-1, None, "l000", "s"), (-2, "12", "l599", "s")], "doc_id long, text string, lang string, source string")
+    model = language.fit(docs, pieces, rounds=1)
+    assert len(model[0]) == 600
+    found = {r.doc_id: r for r in language.predict(docs, pieces, *model).collect()}
+    assert found[-1].lang_pred == found[-2].lang_pred == "und" and found[-1].score == found[-2].score == 0
+    assert sum(found[k].lang_pred == name for k, _, name, _ in rows) >= 590
+    lattice = language.Lattice(pieces, model[1])
+    for k, text, _, _ in rows[::150]:
+        total = lattice.log_probabilities(text.split()).sum(axis=0)
+        assert found[k].lang_pred == model[0][total.argmax()]
+        assert abs(found[k].score - 1 / np.exp(total - total.max()).sum()) < 1e-6
+
+
 def test_held_out_accuracy_and_edges(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang", "source")
     pieces = language.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
