@@ -17,8 +17,9 @@ identify a window of up to 2^(k+1) lines. As each line has a word, log2(min_word
 enough for runs of any length.
 
 All steps are aggregates and equality joins on narrow rows: positions and ranks. A line or a run
-with a third of all rows is combined before the shuffle, and joins on it are split by adaptive execution. Texts move
-once, to meet the numbers of their deleted lines.
+with a third of all rows is combined before the shuffle. Rows of a line with more than a 4096th of all repeated
+ones are salted to meet its rank (so the table of such lines, which is broadcast, has at most 4096 rows); joins on
+longer runs are split by adaptive execution. Texts move once, to meet the numbers of their deleted lines.
 
 Defined cases: rows with a null id or text stay as they are; a repeated row (same id and text)
 is one place of the sequence, so both rows get the same result; two texts under one id
@@ -32,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moothall.operators.skew import skew_join
 from moothall.session import durable
 
 MIN_WORDS = 50
+HOT_LINES = 4096  # a line with more than one in so many of the repeated lines is dealt to several tasks
 WORD = r"[^\x20\x09-\x0D]+"
 KEY = ("doc", "body")  # the id and a hash of the text
 PLACE = (*KEY, "at")
@@ -99,10 +102,14 @@ def shortest_windows(lines: DataFrame, min_words: int) -> DataFrame:
 def find_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, body, removed): the numbers of the original lines to delete, per document that has any."""
     lines = line_table(docs, doc, text)
-    held = lines.groupBy("id", "check").agg(F.count(F.lit(1)).alias("_held")).filter("_held > 1").drop("_held")
-    repeated = durable(lines.join(held, ["id", "check"]).dropDuplicates(list(PLACE)))
-    ranks = durable(name_groups(repeated.select(*PLACE, "id", "check"), ["id", "check"], "rank").select(*PLACE, "rank"))
-    windows = durable(shortest_windows(repeated.join(ranks.select(*PLACE), list(PLACE), "left_semi"), min_words))
+    seen = lines.groupBy("id", "check").agg(
+        F.min(place()).alias("rank"), F.max(place()).alias("last"), F.count(F.lit(1)).alias("n_rows"))
+    held = durable(seen.filter(F.col("rank") < F.col("last")).drop("last"))
+    per_salt = max(1, (held.agg(F.sum("n_rows")).first()[0] or 0) // HOT_LINES)
+    repeated = durable(skew_join(lines, held.select("id", "check", "rank"), ["id", "check"], PLACE, counts=held,
+                                 rows_per_salt=per_salt).drop("id", "check").dropDuplicates(list(PLACE)))
+    ranks = repeated.select(*PLACE, "rank")
+    windows = durable(shortest_windows(repeated, min_words))
     longest = windows.agg(F.max("n")).first()[0] or 0
 
     copies, depth = [], 1
