@@ -23,7 +23,7 @@ Groups hold every link between different texts: a pair that is not compared is i
 already or cannot reach the limit.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing;
-a repeated row is a copy, and of two texts under one id the smaller one is verified; rows without an id have no component and take no part; an empty
+ids that are no whole numbers are compared in their own order (texts by code point); a repeated row is a copy, and of two texts under one id the smaller one is verified; rows without an id have no component and take no part; an empty
 table gives no rows. Only the named columns are read.
 """
 
@@ -36,9 +36,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from moothall.llm.components import components
 from moothall.llm.rolling import WordHasher, chunks
+from moothall.operators.skew import number_rows
 from moothall.session import durable
 
 WIDTH, PERCENT = 3, 90
@@ -282,6 +284,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int)
 def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH,
                   percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row; the component is the smallest id reachable by links."""
+    if not isinstance(docs.schema[doc].dataType, IntegralType):
+        return _by_numbers(docs, doc, text, width, percent)
     read = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(shingle_classes(read.select("text"), width))
     described = durable(describe_sets(read, counts, width, percent))
@@ -299,6 +303,16 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", widt
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _by_numbers(docs: DataFrame, doc: str, text: str, width: int, percent: int) -> DataFrame:
+    """The same for ids of another type, which are numbered in their order and named again at the end."""
+    read = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"))
+    numbers = durable(number_rows(read.select("id").filter("id IS NOT NULL").distinct(), ["id"], "number"))
+    found = group_similar(read.join(numbers, "id", "left").withColumn("number", F.col("number").cast("long")), "number", "text", width, percent)
+    names = [numbers.select(F.col("number").alias(c), F.col("id").alias(f"{c}_name")) for c in ("doc_id", "component_id")]
+    return found.join(names[0], "doc_id", "left").join(names[1], "component_id", "left").select(
+        F.col("doc_id_name").alias("doc_id"), "n_shingles", F.col("component_id_name").alias("component_id"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return group_similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -105,6 +105,18 @@ def test_null_ids_have_no_component(spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in found) == [("5", 2, 5), ("6", 2, 5), ("None", 2, None), ("None", 2, None)]
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,1)"])
+def test_groups_of_other_ids(spark, kind):
+    """The same groups as for whole numbers of the same order."""
+    rows = random_docs(5, 40) + EDGES[:6]
+    named = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        f"CAST(lpad(CAST(doc_id AS string), 5, '0') AS {kind}) AS doc_id", "text", "'x' AS digest", "'n' AS number", "3 AS id")
+    expected = sorted(map(tuple, jaccard.group_similar(table(spark, rows)).collect()), key=str)
+    found = jaccard.group_similar(named).collect()
+    plain = [tuple(None if v is None else int(v) for v in r) for r in found]
+    assert sorted(plain, key=str) == expected and jaccard.group_similar(named).schema["doc_id"].dataType == named.schema["doc_id"].dataType
+
+
 def test_nul_bytes_make_other_words(spark):
     rows = [(1, "a b c d"), (2, "a b c d\0"), (3, "a\0 b c\0\0 d"), (4, "\0 \0\0 \0 \0\0 \0"), (5, "a b c d\0")]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.group_similar(table(spark, rows), width=2).collect()}
