@@ -7,7 +7,7 @@ forward algorithm: a word's probability is the sum over all its segmentations, a
 product over its words, and the answer is the language with the largest one, with its
 posterior under equal priors.
 
-Words are runs of letters and the marks on them, of any length; the forward pass is kept in logarithms and needs only the
+Words are runs of letters and the marks on them, of any length; the forward pass is rescaled as it goes and needs only the
 last columns, as many as the longest piece has characters. A word's score does not depend on its text, so a task scores each
 distinct word of a batch once, whole groups of equal length at a time, and keeps a table of words met, of bounded size.
 
@@ -44,6 +44,7 @@ SMOOTHING = 0.1  # uses added to every piece
 KEPT_SCORES = 1_600_000  # a task's table of scored words is emptied beyond this many scores
 KEPT_LETTERS = 16_000_000  # or this many letters
 BATCH_WORDS = 20_000
+RESCALED = 8  # columns after which the forward pass is rescaled, so that words of any length stay in range
 BATCH_SCORES = 160_000  # words x languages of one array step
 BATCH_LETTERS = 2_000_000  # of the words of one group, if these are more than one
 UNDETERMINED = "und"
@@ -78,9 +79,9 @@ class Lattice:
         self.unknown = len(pieces)  # one more row, for characters outside the vocabulary
         self.none = len(pieces) + 1  # and one of zeros
         languages = probabilities.shape[1]
-        p = np.vstack([probabilities, np.full((1, languages), UNKNOWN), np.zeros((1, languages))])
+        self.p = np.vstack([probabilities, np.full((1, languages), UNKNOWN), np.zeros((1, languages))])
         with np.errstate(divide="ignore"):
-            self.log_p = np.log(p)
+            self.log_p = np.log(self.p)
 
     def _ending_at(self, words: list[str], end: int) -> Iterator[tuple[int, np.ndarray]]:
         """(start, piece numbers) of the pieces that end there in words of one length, where some word has one."""
@@ -113,14 +114,17 @@ class Lattice:
         """The forward algorithm: ln of the summed probability of each word (rows) in each language."""
         out = np.zeros((len(words), self.log_p.shape[1]))
         for places, group in self._groups(words, self.log_p.shape[1]):
-            columns = {0: np.zeros((len(group), self.log_p.shape[1]))}
+            columns, scale = {0: np.ones((len(group), self.log_p.shape[1]))}, 0.0
             for end in range(1, len(group[0]) + 1):
-                total = np.full(columns[end - 1].shape, -np.inf)
+                total = np.zeros(columns[end - 1].shape)
                 for start, ids in self._ending_at(group, end):
-                    np.logaddexp(total, columns[start] + self.log_p[ids], out=total)
+                    total += columns[start] * self.p[ids]
                 columns[end] = total
                 columns.pop(end - self.widest, None)
-            out[places] = columns[len(group[0])]
+                if end % RESCALED == 0:  # the last column becomes 1
+                    columns = {at: column / total for at, column in columns.items()}
+                    scale = scale + np.log(total)
+            out[places] = np.log(columns[len(group[0])]) + scale
         return out
 
     def expected_uses(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
@@ -156,7 +160,7 @@ def fit(labelled: DataFrame, pieces: list[str], text: str = "text", lang: str =
         return [], np.zeros((len(pieces), 0))
     languages = sorted(r.lang for r in sizes)
     shares = rows.sparkSession.createDataFrame([(r.lang, min(1.0, docs_per_lang / r.n)) for r in sizes], "lang string, share double")
-    rows = rows.join(shares, "lang")
+    rows = rows.join(F.broadcast(shares), "lang")  # one row per language, as collected
     drawn = F.pmod(F.xxhash64(F.coalesce("key", F.lit(""))), F.lit(1 << 30)) < F.col("share") * (1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
