@@ -13,25 +13,32 @@ from moothall.operators import tally
 
 
 def live_tally(comments: DataFrame, watermark: str = "1 day", comment: Sequence[str] = ("post_id", "idx"), ts: str = "ts") -> DataFrame:
-    """A1 on a stream of comments (post_id, idx, ts, verdict), for update mode.
+    """The comments of a stream (post_id, idx, ts, verdict) that count for A1, each once.
 
     `comment` names the columns that identify a comment; idx is its place within the post. One
     delivered twice within the watermark counts once; one later than the watermark is
-    dropped. The state holds one row of counts per post.
+    dropped. The only state is the key of each comment, until the watermark has passed it:
+    the counts of a post live in the written tables, where `latest` adds them up.
     """
     timed = comments.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    return tally.tally(timed.dropDuplicatesWithinWatermark(list(comment)))
+    return timed.dropDuplicatesWithinWatermark(list(comment))
 
 
-def run_available(tallied: DataFrame, out: str, checkpoint: str) -> None:
-    """Process all that has arrived; each batch's changed posts form one folder, written again on a retry."""
+def run_available(counted: DataFrame, out: str, checkpoint: str) -> int:
+    """Process all that has arrived and return the number of rows of state that are held afterwards.
+
+    Each batch's own counts per post form one folder, written again on a retry. A silent post
+    costs nothing, and one that wakes up after any time goes on from what was written.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        tally.tally(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (tallied.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    query = (counted.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(save).start())
     query.awaitTermination()
+    progress = query.lastProgress
+    return sum(held["numRowsTotal"] for held in progress["stateOperators"]) if progress else 0
 
 
 def _folders(spark: SparkSession, out: str) -> dict[str, list[int]]:
@@ -54,13 +61,11 @@ def compact(spark: SparkSession, out: str) -> None:
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The current tally: the newest row of every post, from the last compacted table and the batches after it."""
+    """The current tally: counts of the last compacted table and of the batches after it, added up per post."""
     found = _folders(spark, out)
     done = max(found["upto"], default=-1)
-    parts = [(n, f"{out}/batch={n}") for n in sorted(found["batch"]) if n > done]
+    paths = [f"{out}/batch={n}" for n in sorted(found["batch"]) if n > done]
     if done >= 0:
-        parts.append((done, f"{out}/upto={done}"))
-    rows = reduce(DataFrame.unionByName, [spark.read.parquet(path).withColumn("batch", F.lit(n)) for n, path in parts])
-    values = [c for c in rows.columns if c not in ("post_id", "batch")]
-    newest = F.max_by(F.struct(*values), F.col("batch"))
-    return rows.groupBy("post_id").agg(newest.alias("r")).select("post_id", "r.*")
+        paths.append(f"{out}/upto={done}")
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(path) for path in paths])
+    return rows.groupBy("post_id").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "post_id"])

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from moothall.operators import threads
+from moothall.operators import tally, threads
 from moothall.sources import files, sinks
 from moothall.streaming import live
 
@@ -118,6 +118,25 @@ def test_live_tally_counts_equal_places_of_different_posts(spark, tmp_path):
     assert {r.post_id: (r.n_valid, r.n_author, r.n_other) for r in live.latest(spark, out).collect()} == {2: (4, 2, 2), 1: (2, 0, 2)}
 
 
+def test_live_state_stays_bounded_and_silent_posts_wake_up(spark, tmp_path):
+    arriving, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, verdicts, held = "post_id int, idx int, ts timestamp, verdict string", ("AUTHOR", "OTHER", "INFO", None), []
+    everything = []
+    for day in range(4):
+        rows = [(post, 100 * day + i, f"2024-01-{1 + 5 * day:02d} 10:{i:02d}:00", verdicts[(post + i) % 4])
+                for post in [0, *range(100 * day, 100 * day + 40)] for i in range(3)]
+        everything += rows
+        df = spark.createDataFrame(rows + rows[::5], "post_id int, idx int, ts string, verdict string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(arriving)
+        held.append(live.run_available(live.live_tally(spark.readStream.schema(schema).parquet(arriving), "1 hour"), out, state))
+        if day == 1:
+            live.compact(spark, out)
+    batch = spark.createDataFrame(everything, "post_id int, idx int, ts string, verdict string").dropDuplicates(["post_id", "idx"])
+    columns = ["post_id", "n_valid", "n_author", "n_other", "n_everybody", "n_nobody", "n_info"]
+    assert sorted(live.latest(spark, out).select(columns).collect()) == sorted(tally.tally(batch).select(columns).collect())
+    assert max(held) <= 2 * 41 * 3 and held[-1] <= 41 * 3  # 160 posts have come, 123 comments a day
+
+
 def test_shards_take_rows_that_come_later(spark, tmp_path):
     out, rows = str(tmp_path / "shards"), spark.range(10).withColumnRenamed("id", "row_no")
     keep = lambda df: df.select("shard", "row_no")
