@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -157,6 +157,34 @@ def fit_logistic(df: DataFrame, features: str = "features", label: str = "label"
     return model.fit(df)
 
 
+def logistic_optimum(model, df: DataFrame, features: str = "features", label: str = "label", c: float = C) -> DataFrame:
+    """(n, loss, steepest) at a fitted model: the loss that it minimises and the largest entry of the loss's gradient.
+
+    An exact optimum has steepest 0, so the figure proves a fit whatever solver made it. Margins take one pass over the
+    rows and the gradient one over their stored entries, summed per coefficient before the shuffle. The weights, which the
+    model holds in the driver anyway, join as a table. No rows: n is 0, the loss that of the weights alone.
+    """
+    margin, stored = vector_to_array("rawPrediction")[1], F.unwrap_udt(F.col(features))
+    rows = durable(model.transform(df).select(
+        F.col(label).cast("double").alias("y"), margin.alias("margin"), stored.alias("x")))
+    miss = 1 / (1 + F.exp(-F.col("margin"))) - F.col("y")
+    wrong_way = F.when(F.col("y") > 0.5, -F.col("margin")).otherwise(F.col("margin"))
+    losses = F.greatest(wrong_way, F.lit(0.0)) + F.log1p(F.exp(-F.abs("margin")))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(losses), F.lit(0.0)).alias("losses"),
+                    F.coalesce(F.sum(miss), F.lit(0.0)).alias("misses"))
+    places = F.when(F.col("x.type") == 0, F.col("x.indices")).otherwise(
+        F.transform("x.values", lambda _, i: i))  # a dense vector stores no indices
+    entries = rows.select(miss.alias("miss"), F.explode(F.arrays_zip(places.alias("idx"), F.col("x.values").alias("value"))).alias("e"))
+    slopes = entries.groupBy(F.col("e.idx").alias("idx")).agg(F.sum(F.col("miss") * F.col("e.value")).alias("slope"))
+    weights = df.sparkSession.createDataFrame(enumerate(model.coefficients.toArray().tolist()), "idx int, w double")
+    entry = F.abs(F.col("w") + c * F.coalesce("slope", F.lit(0.0)))
+    side = weights.join(slopes, "idx", "left").agg(F.max(entry).alias("most"), (F.sum(F.col("w") * F.col("w")) / 2).alias("size"))
+    extent = side.select(F.struct("most", "size")).scalar()
+    return sums.withColumn("of", extent).select(
+        "n", (F.coalesce("of.size", F.lit(0.0)) + c * F.col("losses")).alias("loss"),
+        F.greatest("of.most", F.abs(c * F.col("misses"))).alias("steepest"))
+
+
 def bow_scores(train: DataFrame, dev: DataFrame, doc: str, text: str, label: str, use_tfidf: bool = False,
                use_projection: bool = True, k: int = COMPONENTS, stemmer=stem, rounds: int = projection.PASSES) -> DataFrame:
     """(doc, label, prediction) on dev of the bag-of-words model fitted on train."""

@@ -113,15 +113,47 @@ def project(spark, sf_dir):
                          F.lit(axes.passes).alias("passes"), F.lit(float(axes.residuals.max())).alias("residual"))
 
 
-@query("f6_fit_logistic")
-def fit_logistic(spark, sf_dir):
-    """A linear model on the given vectors, applied to them."""
+PULLS = ", ".join(f"sum(miss * v[{k}])" for k in range(1, 65))
+OPTIMUM = f"""
+WITH RECURSIVE given AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, (label % 2)::DOUBLE AS y FROM embeddings),
+size AS (SELECT count(*) AS n, sum(list_dot_product(v, v)) AS r FROM given),
+fit AS (
+  SELECT 0 AS i, list_transform(range(64), lambda k: 0::DOUBLE) AS w, 0::DOUBLE AS b
+  UNION ALL
+  SELECT i + 1, list_transform(w, lambda e, k: e - 0.5 * (e + {features.C} * pulls[k]) / (1 + {features.C} * r / 4)), b - 2 * misses / n
+  FROM (SELECT any_value(i) AS i, any_value(w) AS w, any_value(b) AS b, any_value(n) AS n, any_value(r) AS r, sum(miss) AS misses, [{PULLS}] AS pulls
+        FROM (SELECT f.*, v, 1 / (1 + exp(-list_dot_product(w, v) - b)) - y AS miss FROM fit f, given) z, size) s WHERE i < 120),
+best AS (SELECT w, b FROM fit WHERE i = 120)
+"""
+
+
+def fitted(spark, sf_dir, **settings):
+    """A linear model on the given vectors, and these."""
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", array_to_vector("embedding").alias("features"), (F.col("label") % 2).cast("double").alias("label"))
-    model = features.fit_logistic(rows)
+    return features.fit_logistic(rows, **settings), rows
+
+
+@query("f6_fit_logistic", OPTIMUM + """
+SELECT vec_id, CASE WHEN list_dot_product(w, v) + b > 0 THEN 1 ELSE 0 END AS prediction FROM given, best
+""")
+def fit_logistic(spark, sf_dir):
+    """The model applied to its rows; fitted closely enough to predict as the optimum does, which the SQL descends to."""
+    model, rows = fitted(spark, sf_dir, tol=1e-12)
     return model.transform(rows).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
 
 
+@query("f6_optimum", OPTIMUM + f"""
+SELECT count(*) AS n, round(any_value(list_dot_product(w, w)) / 2
+         + {features.C} * sum(ln(1 + exp(list_dot_product(w, v) + b)) - y * (list_dot_product(w, v) + b)), 6) AS loss, true AS settled
+FROM given, best
+""")
+def optimum(spark, sf_dir):
+    """The loss at the fit of the set tolerance, and whether no entry of its gradient is above that tolerance."""
+    state = features.logistic_optimum(*fitted(spark, sf_dir))
+    return state.select("n", F.round("loss", 6).alias("loss"), (F.col("steepest") <= features.TOLERANCE).alias("settled"))
+
+
 @query("f7_bow_model")
 def bow_model(spark, sf_dir):
     train, dev = parted(spark, sf_dir)
