@@ -1,6 +1,6 @@
 """Nearest neighbours by edit distance and by cosine.
 
-Neither search pairs rows. The searched side is packed into blocks of bounded size, a hot
+Neither search pairs rows. The searched side is cut into blocks or tiles of bounded size, a hot
 group of copies into many of them; a searching row meets whole blocks and keeps its best
 match per block. Bounds decide which blocks it has to meet, so the result is exact.
 """
@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,9 @@ from moothall.session import durable
 TEXTS_PER_BLOCK = 256
 KEYS_PER_BLOCK = 1024
 QUERIES_PER_BLOCK = 512
+KEY_BLOCKS_PER_TILE, QUERY_BLOCKS_PER_TILE = 16, 32
+TILES_PER_CELL = 1 << 32  # the room a cell has in the numbers of tiles
+PRODUCT = 1 << 22  # similarities that are held at a time
 FARTHEST = 10_000
 REACHES = (2, 4)  # edits found through an index of one segment more
 FEW_BLOCKS = 16
@@ -189,6 +193,37 @@ def best_in_blocks(visits: DataFrame, blocks: DataFrame, on: list[str], unit: st
         "unit", "id", F.col("w.key").alias("key"), F.col("w.sim").alias("sim"))
 
 
+def _best_in_tile(table: pa.Table) -> pa.Table:
+    """Best key per query of one pair of tiles, PRODUCT similarities at a time."""
+    held, asked = (table.filter(side).combine_chunks() for side in (table.column("is_key"), pc.invert(table.column("is_key"))))
+    if not held.num_rows or not asked.num_rows:
+        return pa.table({"id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+    key_ids = held.column("id").to_numpy()
+    order = np.argsort(key_ids, kind="stable")  # the first maximum is then the lowest id
+    key_ids, keys = key_ids[order], _matrix(held.column("vec").combine_chunks())[order].T
+    queries = _matrix(asked.column("vec").combine_chunks())
+    step, best, sims = max(1, PRODUCT // len(key_ids)), [], []
+    for at in range(0, len(queries), step):
+        product = queries[at:at + step] @ keys
+        best.append(product.argmax(axis=1))
+        sims.append(product[np.arange(len(product)), best[-1]])
+    return pa.table({"id": asked.column("id"), "key": pa.array(key_ids[np.concatenate(best)], pa.int64()), "sim": pa.array(np.concatenate(sims))})
+
+
+def _best_in_tiles(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """Best key (id, key, sim) of query rows (ask, id, vec, tiles) among the keys (tile, id, vec) of their tiles.
+
+    A pair of a query tile `ask` and a key tile meets in one task, once for all of its rows, so rows move once per tile
+    of the other side and a task holds two tiles. There is one row in `pairs` for so many rows of both sides.
+    """
+    pairs = asked.select("ask", F.explode("tiles").alias("tile")).distinct()
+    sent = asked.select("ask", F.explode("tiles").alias("tile"), "id", "vec", F.lit(False).alias("is_key"))
+    held = keys.join(F.broadcast(pairs), "tile").select("ask", "tile", "id", "vec", F.lit(True).alias("is_key"))
+    best = sent.unionByName(held).groupBy("ask", "tile").applyInArrow(_best_in_tile, "id bigint, key bigint, sim double")
+    winner = F.max(F.struct("sim", (-F.col("key")).alias("low"), "key")).alias("w")
+    return best.groupBy("id").agg(winner).select("id", F.col("w.key").alias("key"), F.col("w.sim").alias("sim"))
+
+
 def _assign(pivots: np.ndarray):
     """Nearest pivot and the ring of distances around it, per unit vector."""
 
@@ -210,78 +245,98 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (vectors @ pivots.T), 0.0))
 
 
-def _visits(pivots: np.ndarray, cells: np.ndarray, rings: np.ndarray, first_only: bool):
-    """(cell, ring) groups a query has to visit: the likeliest one, or all it cannot exclude."""
+def _bounds(vectors: np.ndarray, pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to the pivots, and the least distance a key between a cell's rings can have."""
+    distance = _distances(vectors, pivots)
+    return distance, np.maximum(np.maximum(inner * RING_WIDTH - distance, distance - (outer + 1) * RING_WIDTH), 0.0)
+
+
+def _likeliest(pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray):
+    """The cell in which a query is searched first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            distance, bound = _bounds(_matrix(batch.column("vec")), pivots, inner, outer)
+            cell = (bound + 1e-3 * distance).argmin(axis=1).astype("int64")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(cell)], names=["id", "vec", "cell"])
+
+    return run
+
+
+def _open_tiles(pivots: np.ndarray, inner: np.ndarray, outer: np.ndarray, tiles: list[np.ndarray]):
+    """The tiles of all cells that a query with a match of similarity `sim` cannot exclude."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            distance = _distances(_matrix(batch.column("vec")), pivots)[:, cells]
-            nearest_edge, farthest_edge = rings * RING_WIDTH, (rings + 1) * RING_WIDTH
-            bound = np.maximum(np.maximum(nearest_edge - distance, distance - farthest_edge), 0.0)
-            if first_only:
-                row, group = np.arange(len(bound)), (bound + 1e-3 * distance).argmin(axis=1)
-            else:
-                sim = batch.column("sim").to_numpy(zero_copy_only=False)
-                reach = np.sqrt(np.maximum(2.0 - 2.0 * sim, 0.0)) + SLACK
-                row, group = np.nonzero(bound <= reach[:, None])
-            picked = pa.array(row)
+            sim = batch.column("sim").to_numpy(zero_copy_only=False)
+            reach = np.sqrt(np.maximum(2.0 - 2.0 * sim, 0.0)) + SLACK
+            _, bound = _bounds(_matrix(batch.column("vec")), pivots, inner, outer)
+            wanted = [np.concatenate([tiles[c] for c in np.flatnonzero(near)] or [np.zeros(0, "int64")]) for near in bound <= reach[:, None]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(picked), batch.column("vec").take(picked),
-                 pa.array(cells[group]), pa.array(rings[group])],
-                names=["id", "vec", "cell", "ring"])
+                [batch.column("ask"), batch.column("id"), batch.column("vec"), pa.array(wanted, pa.list_(pa.int64()))],
+                names=["ask", "id", "vec", "tiles"])
 
     return run
 
 
-def _all_blocks(visits: DataFrame, sizes: DataFrame, on: list[str]) -> DataFrame:
-    """A row per block of the group a query visits; the table of group sizes is bounded."""
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
-    return visits.join(F.broadcast(sizes), on).withColumn("block", F.explode(blocks)).drop("n_blocks")
+def _tiles(n_rows: int, blocks: int, per_block: int) -> int:
+    return max(1, -(-n_rows // (blocks * per_block)))
 
 
 def _search_few(asking: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
-    """Every query against each of a handful of blocks."""
-    n_blocks = -(-n_keys // KEYS_PER_BLOCK)
-    blocks = keys.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(
-        F.collect_list(F.struct("id", "vec")).alias("rows"))
-    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    return best_in_blocks(asking.select("id", "vec", every_block.alias("block")), blocks, ["block"])
+    """Every query against every key, a pair of tiles at a time."""
+    n_tiles, n_asks = _tiles(n_keys, KEY_BLOCKS_PER_TILE, KEYS_PER_BLOCK), _tiles(asking.count(), QUERY_BLOCKS_PER_TILE, QUERIES_PER_BLOCK)
+    tiles = F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))
+    asked = asking.select(F.pmod(F.xxhash64("id", "vec"), F.lit(n_asks)).alias("ask"), "id", "vec", tiles.alias("tiles"))
+    return _best_in_tiles(asked, keys.select(F.pmod(F.xxhash64("id"), F.lit(n_tiles)).alias("tile"), "id", "vec"))
+
+
+def _tiled(rows: DataFrame, per_tile: int, name: str, *spread: str) -> DataFrame:
+    """Rows of cells with the number of their tile; the table of cells has at most MOST_PIVOTS rows."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per_tile).cast("long").alias("_n"))
+    at = F.col("cell") * TILES_PER_CELL + F.pmod(F.xxhash64(*spread), "_n")
+    return rows.join(F.broadcast(sizes), "cell").withColumn(name, at).drop("_n")
 
 
 def _search_groups(asking: DataFrame, keys: DataFrame, n_keys: int, approx: bool) -> DataFrame:
-    """Queries against the groups of keys that the triangle inequality does not exclude."""
-    on = ["cell", "ring"]
-    schema = "id bigint, vec array<double>, cell bigint, ring bigint"
-    # at most MOST_PIVOTS vectors and MOST_PIVOTS * 2 / RING_WIDTH group sizes reach the driver
-    n_pivots = min(MOST_PIVOTS, n_keys // KEYS_PER_BLOCK + 1)
+    """Queries against the cells of keys that the triangle inequality does not exclude."""
+    # at most MOST_PIVOTS vectors and cells, and a row per tile of keys reach the driver
+    n_pivots = min(MOST_PIVOTS, n_keys // (KEY_BLOCKS_PER_TILE * KEYS_PER_BLOCK) + 1)
     pivots = np.array([r.vec for r in keys.orderBy(order_key("id", 0)).limit(n_pivots).collect()])
-    placed = durable(keys.mapInArrow(_assign(pivots), schema))
-    blocks, sizes = _blocks(placed, on, "id", F.struct("id", "vec"), KEYS_PER_BLOCK)
-    blocks, sizes = durable(blocks), durable(sizes)
-    groups = sizes.select(*on).collect()
-    cells, rings = (np.array([g[c] for g in groups], dtype="int64") for c in on)
-    lowest_block = blocks.groupBy(*on).agg(F.min("block").alias("block"))
-    first = asking.mapInArrow(_visits(pivots, cells, rings, True), schema).join(F.broadcast(lowest_block), on)
-    best = durable(best_in_blocks(durable(first), blocks, [*on, "block"]))
+    placed = durable(keys.mapInArrow(_assign(pivots), "id bigint, vec array<double>, cell bigint, ring bigint"))
+    held = durable(_tiled(placed, KEY_BLOCKS_PER_TILE * KEYS_PER_BLOCK, "tile", "id"))
+    found = held.groupBy("cell", "tile").agg(F.min("ring").alias("inner"), F.max("ring").alias("outer")).orderBy("tile").collect()
+    cells = sorted({r.cell for r in found})
+    tiles = [np.array([r.tile for r in found if r.cell == c], dtype="int64") for c in cells]
+    inner = np.array([min(r.inner for r in found if r.cell == c) for c in cells])
+    outer = np.array([max(r.outer for r in found if r.cell == c) for c in cells])
+    pivots = pivots[cells]
+    likely = durable(asking.mapInArrow(_likeliest(pivots, inner, outer), "id bigint, vec array<double>, cell bigint"))
+    asked = durable(_tiled(likely, QUERY_BLOCKS_PER_TILE * QUERIES_PER_BLOCK, "ask", "id", "vec"))
+    first = F.array(*[F.lit(int(t[0])) for t in tiles])[F.col("cell").cast("int")]
+    best = durable(_best_in_tiles(asked.select("ask", "id", "vec", F.array(first.cast("long")).alias("tiles")), held))
     if approx:
         return best
-    wide = asking.join(best.select("id", "sim"), "id").select("id", "vec", "sim")
-    visits = _all_blocks(wide.mapInArrow(_visits(pivots, cells, rings, False), schema), sizes, on)
-    return best_in_blocks(durable(visits), blocks, [*on, "block"])
+    wide = asked.join(best.select("id", "sim"), "id").select("ask", "id", "vec", "sim")
+    visits = wide.mapInArrow(_open_tiles(pivots, inner, outer, tiles), "ask bigint, id bigint, vec array<double>, tiles array<bigint>")
+    return _best_in_tiles(durable(visits), held)
 
 
 def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: str, vector: str,
                       approx: bool = False, few_blocks: int = FEW_BLOCKS) -> DataFrame:
     """The key of highest cosine per query row; ties go to the lowest key id.
 
-    A few blocks of keys are searched as they are. More keys are grouped by their nearest pivot
-    and the ring of distance around it: a query first searches one block of its likeliest
-    group; the triangle inequality then excludes every group that cannot hold a closer key, and
-    all blocks of the others are searched. Both ways give the same, exact result, whatever
-    `few_blocks` says. `approx` always stops after one block of the likeliest group: it may miss
-    the nearest key, but reports a true similarity. Equal vectors are searched once.
+    A few blocks of keys are searched as they are. More keys are grouped into cells by their nearest
+    pivot: a query first searches one tile of its likeliest cell; the triangle inequality then
+    excludes every cell between whose rings no closer key can lie, and all tiles of the others are
+    searched. Both ways give the same, exact result, whatever `few_blocks` says. `approx` always
+    stops after one tile of the likeliest cell: it may miss the nearest key, but reports a true
+    similarity. Equal vectors are searched once. Queries and keys meet as tiles: where nothing can
+    be excluded, the products stay quadratic, but a row moves once per 16,384 rows of the other side.
     """
     spark = query.sparkSession
     output = f"nearest_{key_id}"
@@ -295,7 +350,7 @@ def nearest_by_cosine(query: DataFrame, key: DataFrame, query_id: str, key_id: s
     zero_key = all_keys.filter(is_zero).agg(F.min("id")).scalar()
     lowest = all_keys.agg(F.min("id")).scalar()
     n_keys = keys.count()
-    best = spark.createDataFrame([], "unit bigint, id bigint, key bigint, sim double")
+    best = spark.createDataFrame([], "id bigint, key bigint, sim double")
     if n_keys:
         asking = queries.filter(~is_zero)
         found_by_few = not approx and n_keys <= few_blocks * KEYS_PER_BLOCK

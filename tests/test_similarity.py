@@ -105,3 +105,30 @@ def test_soft_align_equals_brute_force(spark, monkeypatch):
     for p in range(3):
         a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (refs[p][1:-1], cands[p][1:-1]))
         assert found[p] == pytest.approx((a @ b.T).max(axis=1).sum() / 9)
+
+
+@pytest.mark.parametrize("few", [16, 0])
+def test_cosine_moves_rows_by_tile_not_by_key(spark, monkeypatch, few):
+    """Vectors without clusters: each row moves at most once per tile of the other side."""
+    monkeypatch.setattr(sim, "KEYS_PER_BLOCK", 4 if few == 0 else 16)
+    monkeypatch.setattr(sim, "QUERIES_PER_BLOCK", 2)
+    rng = np.random.default_rng(5)
+    keys, asked = rng.normal(size=(400, 12)), rng.normal(size=(150, 12))
+    moved, search = [], sim._best_in_tiles
+
+    def watched(queries, held):
+        sizes = {r["tile"]: r["count"] for r in held.groupBy("tile").count().collect()}
+        moved.append((sum(len(r.tiles) for r in queries.select("tiles").collect()), len(sizes), max(sizes.values()),
+                      max(r["count"] for r in queries.groupBy("ask").count().collect())))
+        return search(queries, held)
+
+    monkeypatch.setattr(sim, "_best_in_tiles", watched)
+    frames = [spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(rows)], f"{name} long, v array<double>")
+              for rows, name in ((asked, "q"), (keys, "k"))]
+    found = {r.q: r.nearest_k for r in sim.nearest_by_cosine(*frames, "q", "k", "v", few_blocks=few).collect()}
+    unit = [rows / np.linalg.norm(rows, axis=1, keepdims=True) for rows in (asked, keys)]
+    assert found == {i: int(row.argmax()) for i, row in enumerate(unit[0] @ unit[1].T)}
+    per_tile = sim.KEY_BLOCKS_PER_TILE * sim.KEYS_PER_BLOCK
+    for rows, tiles, fullest, asking in moved:
+        assert rows <= 150 * tiles and tiles <= 2 * -(-400 // per_tile) + 2
+        assert fullest <= 2 * per_tile and asking <= 2 * sim.QUERY_BLOCKS_PER_TILE * sim.QUERIES_PER_BLOCK
