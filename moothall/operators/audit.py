@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType
 from moothall.functions import vectors as vec
 from moothall.functions.text import mask_phrase, strip
 from moothall.operators.features import STOP_WORDS
-from moothall.operators.skew import skew_join
+from moothall.operators.skew import common_join, skew_join
 from moothall.session import durable
 
 Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
@@ -59,17 +59,24 @@ def words_of(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def linear_scorer(weights: DataFrame, bias: float = 0.0) -> Scorer:
-    """Logits [0, bias + sum of word weights]; (word, weight, n_rows) with n_rows the word's uses."""
+def linear_scorer(weights: DataFrame, bias: float = 0.0, places: int | None = None) -> Scorer:
+    """Logits [0, bias + sum of word weights]; (word, weight, n_rows) with n_rows the word's uses.
+
+    With `places` the sum is rounded, as floating sums depend on their order.
+    """
 
     def score(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         used = df.select(*keys, F.explode(words_of(F.col(text))).alias("word")).groupBy(*keys, "word").agg(
             F.count(F.lit(1)).alias("_n"))
         weighed = skew_join(used, weights.select("word", "weight"), ["word"], list(keys), counts=weights)
         sums = weighed.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("weight")).alias("_sum"))
-        total = F.coalesce(F.col("_sum"), F.lit(0.0)) + F.lit(bias)
-        return df.select(*keys).join(sums, list(keys), "left").select(*keys, F.array(F.lit(0.0), total).alias("logits"))
+        return df.select(*keys).join(sums, list(keys), "left").select(*keys, logits(F.coalesce(F.col("_sum"), F.lit(0.0))).alias("logits"))
+
+    def logits(total: Column) -> Column:
+        total = total + F.lit(bias)
+        return F.array(F.lit(0.0), total if places is None else F.round(total, places))
 
+    score.weights, score.logits = weights, logits  # for jobs that add up the words of a text by themselves
     return score
 
 
@@ -106,14 +113,44 @@ def role_spans(df: DataFrame, text_id: str, description: str, role: str, mode: s
 
 # ---- candidates ----
 
-def neighbour_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(before, word, after, n) over all texts; words come from each row's own array, unshuffled."""
+CONTEXT_BITS = 1 << 26
+
+
+def context_bits(contexts: DataFrame) -> DataFrame:
+    """A bitmap of the hashes of (before, after) rows, 64 bits a row and at most a million rows."""
+    at = F.pmod(F.xxhash64("before", "after"), F.lit(CONTEXT_BITS))
+    bit = F.expr("shiftleft(1L, cast(_at % 64 as int))")
+    return contexts.select(at.alias("_at")).select(F.floor(F.col("_at") / 64).alias("_line"), bit.alias("_bit")).groupBy("_line").agg(
+        F.bit_or("_bit").alias("_bits"))
+
+
+def mask_slots(masked: DataFrame, keys: Sequence[str], text: str = "masked", mask: str = "<mask>") -> DataFrame:
+    """(keys, before, after) of every mask."""
+    words = words_of(F.col(text))
+    spots = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == mask)
+    return (masked.select(*keys, words.alias("w")).filter(F.size("w") > 0)
+            .select(*keys, F.explode(F.transform(spots, lambda i: F.struct(
+                F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))).alias("s"))
+            .select(*keys, "s.before", "s.after"))
+
+
+def neighbour_counts(texts: DataFrame, text: str, contexts: DataFrame | None = None) -> DataFrame:
+    """(before, word, after, n) over all texts; words come from each row's own array, unshuffled.
+
+    With `contexts` (before, after) most triples of other contexts are left out before anything moves, by a bitmap of
+    hashes; all triples of the given contexts are counted.
+    """
     words = words_of(F.col(text))
     inner = F.when(F.size("w") > 2, F.sequence(F.lit(1), F.size("w") - 2)).otherwise(F.array().cast("array<int>"))
     triples = F.transform(inner, lambda i: F.struct(
         F.get("w", i - 1).alias("before"), F.get("w", i).alias("word"), F.get("w", i + 1).alias("after")))
-    return (texts.select(words.alias("w")).select(F.explode(triples).alias("t")).select("t.*")
-            .groupBy("before", "word", "after").agg(F.count(F.lit(1)).alias("n")))
+    found = texts.select(words.alias("w")).select(F.explode(triples).alias("t")).select("t.*")
+    if contexts is not None:
+        at = F.pmod(F.xxhash64("before", "after"), F.lit(CONTEXT_BITS))
+        marked = found.withColumn("_at", at).withColumn("_line", F.floor(F.col("_at") / 64))
+        bit = F.expr("shiftright(_bits, cast(_at % 64 as int)) & 1L")
+        found = marked.join(F.broadcast(durable(context_bits(contexts))), "_line").filter(bit == 1).select("before", "word", "after")
+    return found.groupBy("before", "word", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fillers(masked: DataFrame, neighbours: DataFrame, keys: Sequence[str], text: str = "masked", mask: str = "<mask>",
@@ -122,12 +159,7 @@ def fillers(masked: DataFrame, neighbours: DataFrame, keys: Sequence[str], text:
 
     The k best words of a context are chosen once per context, before any text meets them.
     """
-    words = words_of(F.col(text))
-    spots = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == mask)
-    slots = (masked.select(*keys, words.alias("w")).filter(F.size("w") > 0)
-             .select(*keys, F.explode(F.transform(spots, lambda i: F.struct(
-                 F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))).alias("s"))
-             .select(*keys, "s.before", "s.after"))
+    slots = mask_slots(masked, keys, text, mask)
     counts = slots.groupBy("before", "after").agg(F.count(F.lit(1)).alias("n_rows"))
     best = W.partitionBy("before", "after").orderBy(F.desc("n"), "word")
     asked = neighbours.join(counts, ["before", "after"], "left_semi")
@@ -153,9 +185,12 @@ def first_flip(texts: DataFrame, masked: DataFrame, candidates: DataFrame, score
     A candidate fills every slot of its target; candidates are tried in the order (phrase, rank). With `target`
     the prediction must become that class. Rounds try FIRST_ROUND candidates of each text, then GROWTH times as many as
     before; a text whose prediction changed leaves, so few candidates behind the first flip are scored, in about
-    log(candidates) batches. The candidates of one text are ordered together (at most targets x cap).
+    log(candidates) batches. The candidates of one text are ordered together (at most targets x cap). A linear scorer
+    builds no changed texts: a masked text is scored once, and each of its candidates adds its own words.
     """
     clean = durable(scorer(texts, [text_id], text).select(text_id, vec.argmax(F.col("logits")).alias("clean")))
+    if hasattr(scorer, "weights") and masked.filter(~_apart(F.col("masked"))).isEmpty():
+        return _first_flip_by_words(clean, masked, candidates, scorer, text_id, target)
     order = W.partitionBy(text_id).orderBy("phrase", "rank")
     numbered = masked.join(candidates.select(text_id, "phrase", "rank", "word"), [text_id, "phrase"])
     tried = durable(numbered.withColumn("_try", F.row_number().over(order)))
@@ -179,6 +214,35 @@ def first_flip(texts: DataFrame, masked: DataFrame, candidates: DataFrame, score
     return clean.join(found, text_id, "left")
 
 
+def _apart(masked: Column) -> Column:
+    """Whether every mask is a word of its own, so that what fills it leaves the other words as they are."""
+    return words_of(masked) == words_of(F.replace(masked, F.lit("<mask>"), F.lit(" <mask> ")))
+
+
+def _first_flip_by_words(clean: DataFrame, masked: DataFrame, candidates: DataFrame, scorer: Scorer, text_id: str, target: int) -> DataFrame:
+    """R3 for a linear scorer: the words around the masks and those of the candidates are weighed once each."""
+    def weighed(df: DataFrame, key: str, text: Column) -> DataFrame:
+        used = df.select(key, F.explode(words_of(text)).alias("_word")).groupBy(key, "_word").agg(F.count(F.lit(1)).alias("_n"))
+        met = skew_join(used.withColumnRenamed("_word", "_w"), scorer.weights.select(F.col("word").alias("_w"), "weight"), ["_w"], [key],
+                        counts=scorer.weights.select(F.col("word").alias("_w"), "n_rows"))
+        return met.groupBy(key).agg(F.sum(F.col("_n") * F.col("weight")).alias("_sum"))
+
+    rows = durable(masked.withColumn("_m", F.monotonically_increasing_id()))
+    around = weighed(rows, "_m", F.replace("masked", F.lit("<mask>"), F.lit(" "))).withColumnRenamed("_sum", "_around")
+    holes = (F.size(F.split("masked", "<mask>", -1)) - 1).alias("_holes")
+    bases = rows.select("_m", text_id, "phrase", holes).join(around, "_m", "left").join(clean.select(text_id, "clean").distinct(), text_id)
+    uses = durable(candidates.groupBy("word").agg(F.count(F.lit(1)).alias("n_rows")))
+    own = uses.join(weighed(uses, "word", F.col("word")), "word", "left").select("word", F.coalesce("_sum", F.lit(0.0)).alias("_own"))
+    tried = common_join(candidates.select(text_id, "phrase", "rank", "word"), own, ["word"], [text_id, "phrase"], uses, "inner").join(
+        bases, [text_id, "phrase"])
+    logits = scorer.logits(F.coalesce("_around", F.lit(0.0)) + F.col("_holes") * F.col("_own"))
+    flipped = tried.filter(goal(logits, F.col("clean"), target))
+    firsts = flipped.groupBy(text_id).agg(F.min(F.struct("phrase", "rank", "word", "_m")).alias("f")).select(text_id, "f.*")
+    changed = F.replace("masked", F.lit("<mask>"), F.col("word"))
+    found = firsts.join(rows.select("_m", "masked"), "_m").select(text_id, "phrase", "word", changed.alias("changed"))
+    return clean.join(found, text_id, "left")
+
+
 def goal(logits: Column, label: Column, target: int = -1) -> Column:
     """Any other class, or the target class."""
     found = vec.argmax(logits)
@@ -344,16 +408,17 @@ def log_perplexity(texts: DataFrame, bigrams: DataFrame, text_id: str, text: str
 
     p = (n + 1) / (total of the word before + words), where words counts the corpus's second
     words and one for all others, so pairs the corpus lacks have a chance too.
+    The logarithm is a difference, so the counts of pairs and the totals are joined and summed apart; a pair the corpus
+    lacks adds ln 1 = 0. Equal places are not combined before, as that would move them all.
     """
-    firsts = durable(bigrams.groupBy("before").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_rows")))
+    firsts = durable(bigrams.groupBy("before").agg(F.sum("n").alias("total")))
     words = bigrams.agg(F.count_distinct("word") + 1).scalar()
-    used = durable(_bigrams(texts, text, text_id).groupBy(text_id, "before", "word").agg(F.count(F.lit(1)).alias("uses")))
-    met = skew_join(used, bigrams, ["before", "word"], [text_id], "left",
-                    counts=bigrams.select("before", "word", F.col("n").alias("n_rows")))
-    met = skew_join(met, firsts.drop("n_rows"), ["before"], [text_id, "word"], "left",
-                    counts=firsts.select("before", F.col("total").alias("n_rows")))
-    log_p = F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + words))
-    scored = met.groupBy(text_id).agg((-F.sum(F.col("uses") * log_p) / F.sum("uses")).alias("log_perplexity"))
+    used = durable(_bigrams(texts, text, text_id))
+    pairs = common_join(used, bigrams, ["before", "word"], [text_id], bigrams.select("before", "word", F.col("n").alias("n_rows")), "inner")
+    totals = common_join(used.select(text_id, "before"), firsts, ["before"], [text_id], firsts.withColumnRenamed("total", "n_rows"))
+    parts = pairs.select(text_id, F.ln(F.col("n") + 1).alias("log_p"), F.lit(0).alias("uses")).unionByName(
+        totals.select(text_id, (-F.ln(F.coalesce("total", F.lit(0)) + words)).alias("log_p"), F.lit(1).alias("uses")))
+    scored = parts.groupBy(text_id).agg((-F.sum("log_p") / F.sum("uses")).alias("log_perplexity"))
     return texts.select(text_id).join(scored, text_id, "left")
 
 

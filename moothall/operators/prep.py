@@ -18,10 +18,11 @@ ALPHA = 0.3
 # ---- end of fixed values ----
 
 
-def encode(docs: DataFrame, words: DataFrame, vocab: DataFrame, doc: str, max_len: int = MAX_LENGTH) -> DataFrame:
-    """G1: input ids in word order with their mask, cut to the model's length."""
+def encode(docs: DataFrame, words: DataFrame, vocab: DataFrame, doc: str, max_len: int = MAX_LENGTH,
+           stored: bool = False) -> DataFrame:
+    """G1: input ids in word order with their mask, cut to the model's length; `stored` words are a table."""
     fitting = words.filter(F.col("pos") < max_len)  # at most max_len words of a text meet in a row
-    found = lookup_vocab(fitting, vocab, [doc, "pos"])
+    found = lookup_vocab(fitting, vocab, [doc, "pos"], stored)
     listed = F.array_sort(F.collect_list(F.struct("pos", "idx")))
     ids = found.groupBy(doc).agg(F.transform(listed, lambda e: e["idx"]).alias("input_ids"))
     empty = F.array().cast("array<bigint>")

@@ -104,8 +104,9 @@ WHERE rank <= 100
 
 
 def candidates(spark, sf_dir):
-    neighbours = audit.neighbour_counts(table(spark, sf_dir, "documents"), "text")
     masked = durable(masked_targets(spark, sf_dir))
+    contexts = audit.mask_slots(masked, ["remark_id", "phrase"])
+    neighbours = audit.neighbour_counts(table(spark, sf_dir, "documents"), "text", contexts)
     return masked, audit.fillers(masked, neighbours, ["remark_id", "phrase"])
 
 
@@ -156,11 +157,7 @@ LEFT JOIN tried t ON t.remark_id = f.remark_id AND t.phrase = f.phrase AND t.ran
 """)
 def first_flip(spark, sf_dir):
     masked, found = candidates(spark, sf_dir)
-    linear = audit.linear_scorer(weights(spark, sf_dir))
-
-    def scorer(df, keys, text):
-        return linear(df, keys, text).withColumn("logits", F.transform("logits", lambda x: F.round(x, 9)))
-
+    scorer = audit.linear_scorer(weights(spark, sf_dir), places=9)
     result = audit.first_flip(described(spark, sf_dir), masked, durable(found), scorer, "remark_id", "text")
     return result.select("remark_id", "clean", "phrase", "word", F.md5("changed").alias("changed_md5"))
 
