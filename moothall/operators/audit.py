@@ -18,7 +18,7 @@ from moothall.functions import vectors as vec
 from moothall.functions.text import mask_phrase, strip
 from moothall.operators.features import STOP_WORDS
 from moothall.operators.skew import common_join, skew_join
-from moothall.session import durable
+from moothall.session import durable, let_go, scratch_path, scratch_scope
 
 Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
@@ -32,6 +32,7 @@ KAPPA = 5.0
 # ---- end of fixed values ----
 
 VARIANT_BYTES = 4 << 20  # of changed texts, in one call of a scorer
+ROUND_CHARS = 1 << 29  # of text whose word pairs are looked up at a time
 FIRST_ROUND, GROWTH = 4, 4  # candidates of a text that are tried at first, and how fast rounds grow
 
 
@@ -392,9 +393,10 @@ def flip_rate(chosen: DataFrame) -> DataFrame:
                       F.avg(F.col("flipped").cast("int")).alias("rate"))
 
 
-def bigram_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(before, word, n) over neighbouring words."""
-    return _bigrams(texts, text).groupBy("before", "word").agg(F.count(F.lit(1)).alias("n"))
+def bigram_counts(texts: DataFrame, text: str | None) -> DataFrame:
+    """(before, word, n) over neighbouring words; without `text` the rows are pairs (before, word) already."""
+    pairs = texts if text is None else _bigrams(texts, text)
+    return pairs.groupBy("before", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _bigrams(texts: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -403,23 +405,61 @@ def _bigrams(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     return texts.select(*keys, words_of(F.col(text)).alias("w")).select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
 
 
-def log_perplexity(texts: DataFrame, bigrams: DataFrame, text_id: str, text: str) -> DataFrame:
+def log_perplexity(texts: DataFrame, bigrams: DataFrame | Column, text_id: str, text: str) -> DataFrame:
     """Mean of -ln p(word | word before) over all positions of a text; null if it has none.
 
     p = (n + 1) / (total of the word before + words), where words counts the corpus's second
     words and one for all others, so pairs the corpus lacks have a chance too.
     The logarithm is a difference, so the counts of pairs and the totals are joined and summed apart; a pair the corpus
     lacks adds ln 1 = 0. Equal places are not combined before, as that would move them all.
+
+    `bigrams` are counts (before, word, n), or a condition on `text_id`: the pairs of such texts are counted then. Texts are cut once.
+    Places are counted and looked up in rounds by a hash of the word before, one for each ROUND_CHARS of text, and what a round
+    counts and shuffles goes with its end: the disk holds all places once, and the rest of one round.
     """
+    spark, given = texts.sparkSession, isinstance(bigrams, DataFrame)
+    rounds = 1 + (texts.agg(F.sum(F.length(text))).first()[0] or 0) // ROUND_CHARS
+    with scratch_scope(spark) as keep:
+        used = _by_round(_bigrams(texts, text, text_id), "before", rounds)
+        words = (bigrams if given else used.filter(bigrams)).agg(F.count_distinct("word") + 1).first()[0]
+        counts = _by_round(bigrams.select("before", "word", "n"), "before", rounds) if given and rounds > 1 else bigrams
+        sums = []
+        for k in range(rounds):
+            with scratch_scope(spark) as keep_sums:
+                asked = _round(used, k, rounds)
+                known = _round(counts, k, rounds) if given else durable(bigram_counts(asked.filter(bigrams), None))
+                let_go(spark)  # what counting shuffled
+                sums.append(keep_sums(_summed_logs(asked, known, words, text_id)))
+            let_go(spark)
+        every = sums[0]
+        for more in sums[1:]:
+            every = every.unionByName(more)
+        scored = keep(every.groupBy(text_id).agg((-F.sum("log_p") / F.sum("uses")).alias("log_perplexity")))
+    return texts.select(text_id).join(scored, text_id, "left")
+
+
+def _by_round(df: DataFrame, key: str, rounds: int) -> DataFrame:
+    """`df` written, in one part per round if there are several (_round, by a hash of `key`)."""
+    if rounds == 1:
+        return durable(df)
+    parted = df.withColumn("_round", F.pmod(F.xxhash64(key), F.lit(rounds)).cast("int"))
+    path = scratch_path(df.sparkSession, "rounds")
+    parted.write.partitionBy("_round").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(parted.schema).parquet(path)
+
+
+def _round(df: DataFrame, k: int, rounds: int) -> DataFrame:
+    return df if rounds == 1 else df.filter(F.col("_round") == k).drop("_round")
+
+
+def _summed_logs(used: DataFrame, bigrams: DataFrame, words: int, text_id: str) -> DataFrame:
+    """(text_id, log_p, uses): the sum of logarithms and the number of the places `used`."""
     firsts = durable(bigrams.groupBy("before").agg(F.sum("n").alias("total")))
-    words = bigrams.agg(F.count_distinct("word") + 1).scalar()
-    used = durable(_bigrams(texts, text, text_id))
     pairs = common_join(used, bigrams, ["before", "word"], [text_id], bigrams.select("before", "word", F.col("n").alias("n_rows")), "inner")
     totals = common_join(used.select(text_id, "before"), firsts, ["before"], [text_id], firsts.withColumnRenamed("total", "n_rows"))
     parts = pairs.select(text_id, F.ln(F.col("n") + 1).alias("log_p"), F.lit(0).alias("uses")).unionByName(
-        totals.select(text_id, (-F.ln(F.coalesce("total", F.lit(0)) + words)).alias("log_p"), F.lit(1).alias("uses")))
-    scored = parts.groupBy(text_id).agg((-F.sum("log_p") / F.sum("uses")).alias("log_perplexity"))
-    return texts.select(text_id).join(scored, text_id, "left")
+        totals.select(text_id, (-F.ln(F.coalesce("total", F.lit(0)) + F.lit(words))).alias("log_p"), F.lit(1).alias("uses")))
+    return parts.groupBy(text_id).agg(F.sum("log_p").alias("log_p"), F.sum("uses").alias("uses"))
 
 
 def audit_report(samples: DataFrame, run: str) -> DataFrame:

@@ -253,8 +253,7 @@ SELECT d.doc_id, round(-avg(log_p), 6) AS log_perplexity FROM documents d LEFT J
 def log_perplexity(spark, sf_dir):
     """Counted on nine tenths of the documents, applied to all; texts of fewer than two words have no position."""
     documents = table(spark, sf_dir, "documents")
-    bigrams = durable(audit.bigram_counts(documents.filter("doc_id % 10 <> 3"), "text"))
-    return rounded(audit.log_perplexity(documents, bigrams, "doc_id", "text"))
+    return rounded(audit.log_perplexity(documents, F.expr("doc_id % 10 <> 3"), "doc_id", "text"))
 
 
 @query("r9_linear_importance", f"""

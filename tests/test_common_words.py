@@ -68,3 +68,24 @@ def test_perplexity_of_pairs_the_corpus_lacks(spark):
     found = {r.i: r.log_perplexity for r in audit.log_perplexity(texts, bigrams, "i", "t").collect()}
     assert found[4] is None
     assert all(math.isclose(found[i], v) for i, v in {1: -math.log(3 / 5), 2: -math.log(1 / 4), 3: -math.log(1 / 3)}.items())
+
+
+def test_perplexity_looks_pairs_up_in_rounds(spark, monkeypatch):
+    rows = [(i, " ".join("abcdefgh"[(i * k + k // 3) % 8] for k in range(1, 30))) for i in range(12)] + [(12, None), (12, "a b z"), (None, "a b")]
+    texts = spark.createDataFrame(rows, "i long, t string")
+    bigrams = audit.bigram_counts(texts.filter("i % 3 <> 1"), "t")
+    whole = {r.i: r.log_perplexity for r in audit.log_perplexity(texts, bigrams, "i", "t").collect()}
+    places, joined = sum(max(0, len((t or "").split()) - 1) for _, t in rows), []
+
+    def spied(big, small, on, *args):
+        if len(on) == 2:
+            joined.append(big.count())
+        return skew.common_join(big, small, on, *args)
+
+    monkeypatch.setattr(audit, "common_join", spied)
+    monkeypatch.setattr(audit, "ROUND_CHARS", 150)
+    parted = {r.i: r.log_perplexity for r in audit.log_perplexity(texts, bigrams, "i", "t").collect()}
+    assert sum(joined) == places and max(joined) < places and len(joined) == 5
+    counted = {r.i: r.log_perplexity for r in audit.log_perplexity(texts, F.expr("i % 3 <> 1"), "i", "t").collect()}
+    assert parted.keys() == whole.keys() and parted[None] is None and len(joined) == 10 and sum(joined) == 2 * places
+    assert all(math.isclose(parted[i], v) and math.isclose(counted[i], v) for i, v in whole.items() if v is not None)
